@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weblens.llm.cap import cap_contributors
 from weblens.llm.common import site
 from weblens.llm.lines import repeated_exact, repeated_near, without_lines
+from weblens.llm.oracles import ORACLES  # noqa: F401
 from weblens.llm.residue import residue_records
 from weblens.session import table
 
@@ -38,4 +39,4 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_sampled": p1_sampled, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found}
-ORACLES: dict[str, str] = {}
+
