@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from weblens.llm.cap import cap_contributors
 from weblens.llm.common import site
+from weblens.llm.leaks import leaks
 from weblens.llm.lines import repeated_exact, repeated_near, without_lines
+from weblens.llm import mojibake
 from weblens.llm.oracles import ORACLES  # noqa: F401
 from weblens.llm.residue import residue_records
 from weblens.session import table
@@ -38,5 +40,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_records(table(spark, sf_dir, "research_sources"), "src_id", "final_url", "content")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p6_inexact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks with up to two character edits in a window of ten words."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), edits=2)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.found(table(spark, sf_dir, "documents"))
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restored(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"p1_found": p1_found, "p1_sampled": p1_sampled, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found}
+QUERIES |= {"p6_found": p6_found, "p6_inexact": p6_inexact, "p8_found": p8_found, "p8_restored": p8_restored}
 
