@@ -184,7 +184,8 @@ def _lost(word: Column) -> Column:
 def _hits(docs: DataFrame, key: str, text: str, table: DataFrame) -> DataFrame:
     """(key, word, original): the garbled words of each document, each once, in full or symbol form."""
     each = docs.where(F.col(text).isNotNull()).select(key, F.explode(words(evidence(F.col(text)))).alias("full"))
-    both = each.select(key, F.explode(F.array_distinct(F.array("full", F.when(F.col("full").rlike("[A-Za-z]"), symbol_form(F.col("full"))).otherwise(F.col("full"))))).alias("word"))
+    two = F.col("full").rlike("[A-Za-z]") & (F.length(F.regexp_replace("full", "[\\x00-\\x7f]", "")) >= 2)  # one character alone is too common for a symbol form
+    both = each.select(key, F.explode(F.array_distinct(F.array("full", F.when(two, symbol_form(F.col("full"))).otherwise(F.col("full"))))).alias("word"))
     return both.join(table, "word")
 
 

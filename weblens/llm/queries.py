@@ -10,6 +10,7 @@ from weblens.llm.common import site
 from weblens.llm.leaks import leaks
 from weblens.llm.lines import repeated_exact, repeated_near, without_lines
 from weblens.llm import mojibake
+from weblens.llm.mix import mixture
 from weblens.llm.oracles import ORACLES  # noqa: F401
 from weblens.llm.residue import residue_records
 from weblens.session import table
@@ -57,6 +58,27 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.restored(table(spark, sf_dir, "documents"))
 
 
+#: Domains of the sources, the top of the budget tree.
+DOMAINS = {
+    source: domain
+    for domain, sources in {
+        "news": "fxdesk pasarkini ratewatch weltkurs marchefr bolsahoy rynekpl cambiobr lentaru",
+        "reference": "apidocs paperindex repo_readmes pdf_reports handbook",
+        "talk": "threadhub postfeed transcripts judged_answers",
+        "records": "calendarfeed oddsboard cotdigest",
+    }.items()
+    for source in sources.split()
+}
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), domains=DOMAINS, seed=11)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), domains=DOMAINS, seed=11)[1]
+
+
 QUERIES = {"p1_found": p1_found, "p1_sampled": p1_sampled, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found}
-QUERIES |= {"p6_found": p6_found, "p6_inexact": p6_inexact, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES |= {"p7_mixture": p7_mixture, "p7_shares": p7_shares, "p6_found": p6_found, "p6_inexact": p6_inexact, "p8_found": p8_found, "p8_restored": p8_restored}
 
