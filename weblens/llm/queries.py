@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weblens.llm.body import main_body, outside_body
 from weblens.llm.cap import cap_contributors
 from weblens.llm.common import site
 from weblens.llm.leaks import leaks
@@ -41,6 +42,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue_records(table(spark, sf_dir, "research_sources"), "src_id", "final_url", "content")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outside_body(table(spark, sf_dir, "fetched_pages"), "page_id", "final_url", "html", "content")
+
+
+def p4_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_body(table(spark, sf_dir, "fetched_pages"), "page_id", "final_url", "html", "content")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -80,5 +89,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_sampled": p1_sampled, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found}
-QUERIES |= {"p7_mixture": p7_mixture, "p7_shares": p7_shares, "p6_found": p6_found, "p6_inexact": p6_inexact, "p8_found": p8_found, "p8_restored": p8_restored}
+QUERIES |= {"p4_found": p4_found, "p4_bodies": p4_bodies, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p6_found": p6_found, "p6_inexact": p6_inexact, "p8_found": p8_found, "p8_restored": p8_restored}
 
