@@ -35,19 +35,20 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weblens.llm.common import join_few, normal_line, site
+from weblens.llm.common import join_few, site
 from weblens.session import write_shared
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<(script|style|head|noscript|template)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^>]*)(?:>|\Z)|([^<]+|<)", re.S | re.I)
 _CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _CONTAINERS = frozenset("div section article aside header footer nav main table tbody thead tr td th ul ol dl form figure".split())
 _LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 span button blockquote pre dt dd figcaption label caption".split())
-_SPACE = re.compile(r"\s+")
+_SPACE = re.compile(r"[\s|]+")  # a dump may set cells of a row apart with bars
 _GENERATED = re.compile(r"^([a-z]{1,4}[-_])[a-z0-9]{4,}$|^[a-z]*\d[a-z0-9]*$", re.I)
 _COMMENT = re.compile(r"^\s*[^\W\d_]{3,20}\d{1,4}: ")
 _DATED = re.compile(r"\b\d{1,2}\.? [^\W\d_]{3,12}\.? (?:de )?\d{4}\b|\b\d{4}-\d{2}-\d{2}\b|\b[A-Z][a-z]{2,8} \d{1,2}, \d{4}\b")
@@ -55,13 +56,12 @@ _BYLINE = re.compile(r"^\s*(?:by|von|oleh|par|por|de|text|teks|autor|author|ав
 _ENDS = re.compile(r"[.!?…。][\"”“»')\]]*\s*$")
 #: Share of a page's text from which a container without text of its own is a wrapper.
 WRAPPER = 0.85
+#: Lines from this length on are not compared with lines of other pages.
+SHORT = 160
+_CAPITALISED = re.compile(r"(?<![\w])[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐÉĘĚĞÍŁŃŇŐŘŚŞŠŤŮŰŹŻŽА-ЯЁ][\w-]*")
 #: Longest line that may be an author or date line, in characters.
 BYLINE_CHARS = 100
 
-#: region: number in the page, -1 without markup; role: see _role
-_STRUCTURE = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("region", T.IntegerType()), T.StructField("path", T.StringType()), T.StructField("role", T.StringType()), T.StructField("chars", T.IntegerType())]))
-
-
 def _general(name: str) -> str:
     return " ".join(sorted({(m[1] or "") + "*" if (m := _GENERATED.match(c)) else c.lower() for c in name.split()}))
 
@@ -179,9 +179,9 @@ def structure(markup: str | None, content: str) -> list[tuple[int, int, str, str
     out, pos = [], 0
     for number, line in enumerate(content.split("\n"), 1):
         bare = _SPACE.sub("", line)
-        if not bare:
+        if not bare and not line.strip():
             continue
-        here = pos if stream.startswith(bare, pos) else stream.find(bare, pos, pos + 4000 + len(bare)) if pos < len(stream) else -1
+        here = -1 if not bare else pos if stream.startswith(bare, pos) else stream.find(bare, pos, pos + 4000 + len(bare)) if pos < len(stream) else -1
         if here < 0:
             out.append((number, -1, "", _role(line, "", [], False), len(bare)))
             continue
@@ -196,17 +196,40 @@ def structure(markup: str | None, content: str) -> list[tuple[int, int, str, str
     return out
 
 
-@F.pandas_udf(_STRUCTURE)
-def _structures(pages: pd.DataFrame) -> pd.Series:
-    return pd.Series([structure(h, c) for h, c in zip(pages["html"], pages["content"])], dtype=object)
+def _normal(line: str) -> str:
+    return re.sub("[0-9]+", "0", " ".join(line.lower().split()))
+
+
+def _hashes(texts: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.asarray(texts, dtype=object), categorize=False).view(np.int64) if texts else np.zeros(0, np.int64)
 
 
 def page_lines(df: DataFrame, key: str, url: str, markup: str, content: str) -> DataFrame:
-    """(key, site, line_no, region, path, role, chars, h): the structure of all pages, h the hash of the normalised line."""
-    own = df.where(F.col(content).isNotNull()).select(F.col(key), site(F.col(url)).alias("site"), F.struct(F.col(markup).alias("html"), F.col(content).alias("content")).alias("_page"))
-    own = own.select(key, "site", F.split("_page.content", "\n").alias("_text"), _structures("_page").alias("_lines"))
-    own = own.select(key, "site", "_text", F.explode("_lines").alias("l"))
-    return own.select(key, "site", "l.*", F.xxhash64(normal_line(F.element_at("_text", F.col("l.line_no")))).alias("h"))
+    """(key, site, line_no, region, path, role, chars, h, form): the structure of all pages, region -1 without markup; h and form are hashes of the normalised line, form with capitalised words masked, 0 for lines of SHORT characters or more, which are judged by their place alone."""
+    schema = T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("site", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("line_no", "region")), *(T.StructField(n, T.StringType()) for n in ("path", "role")), T.StructField("chars", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("h", "form"))])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts, rows, norms, forms = [], [], [], []
+            for markup_, content_ in zip(batch["_markup"], batch["_content"]):
+                own = structure(markup_, content_)
+                counts.append(len(own))
+                rows += own
+                text = content_.split("\n")
+                for row in own:
+                    line = text[row[0] - 1]
+                    norms.append(_normal(line) if len(line) < SHORT else "")
+                    forms.append(_normal(_CAPITALISED.sub("X", line)) if len(line) < SHORT else "")
+            out = pd.DataFrame(rows, columns=["line_no", "region", "path", "role", "chars"])
+            for name in ("_key", "site"):
+                out[name] = batch[name].repeat(counts).to_numpy()
+            out["h"], out["form"] = _hashes(norms), _hashes(forms)
+            for name, texts in (("h", norms), ("form", forms)):
+                out.loc[[not t for t in texts], name] = 0
+            yield out[[f.name for f in schema]]
+
+    own = df.where(F.col(content).isNotNull()).select(F.col(key).alias("_key"), site(F.col(url)).alias("site"), F.col(markup).alias("_markup"), F.col(content).alias("_content"))
+    return own.mapInPandas(read, schema).withColumnRenamed("_key", key)
 
 
 def _score() -> Column:
@@ -214,48 +237,48 @@ def _score() -> Column:
     return F.when(F.col("role") == "h", 400).when(F.col("role").isin("p", "q"), F.col("chars")).when(F.col("role").isin("s", "b"), 20).when(F.col("role").isin("k", "w", "c", "a", "f"), -F.col("chars")).otherwise(0)
 
 
-def _judge_unmarked(key: str, schema: T.StructType):
-    """Labels of pages whose lines lie on no markup, by place and by what other pages made of the same line."""
-
-    def judge(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("line_no").drop_duplicates("line_no")
-        roles, known = page["role"].tolist(), page["known"].tolist()  # known: 1 body, 0 not, None
-        label = [None if pd.isna(x) else bool(x) for x in page["main"].tolist()]
-        n = len(roles)
-        furniture = [known[i] is not None and not pd.isna(known[i]) and known[i] < 0.5 for i in range(n)]
-        body = [i for i in range(n) if roles[i] == "p" and not furniture[i] and label[i] is not False]
-        if body:
-            first, last = body[0], body[-1]
-            widget = False
-            for i in range(n):
-                if label[i] is not None:
-                    continue
-                if i < first or i > last:
-                    label[i] = False
-                elif furniture[i]:
-                    label[i], widget = False, True
-                elif roles[i] == "p":
-                    label[i], widget = True, False
-                elif roles[i] == "c":
-                    label[i] = False
-                else:
-                    label[i] = roles[i] == "b" or not widget
-            i = first - 1  # headline and author line stand before the first sentence
-            while i >= 0 and label[i] is False and page["region"].iloc[i] < 0:
-                if roles[i] == "b":
-                    label[i] = True
-                elif not furniture[i] and roles[i] != "c":
-                    label[i] = True
-                    break
-                i -= 1
-            i = last + 1  # a list or table may end the body
-            while i < n and page["region"].iloc[i] < 0 and not furniture[i] and roles[i] in ("f", "b"):
+def judge_unmarked(lines: list[dict]) -> list[int]:
+    """Numbers of the body's lines on a page of which lines lie on no markup, by their place and by what other pages made of the same line.
+
+    lines: line_no, region, role, main (NULL without markup) and furniture.
+    """
+    page = list({x["line_no"]: x for x in lines}.values())
+    page.sort(key=lambda x: x["line_no"])
+    n = len(page)
+    roles, furniture, label = [x["role"] for x in page], [x["furniture"] for x in page], [x["main"] for x in page]
+    talk = next((i for i in range(n) if roles[i] == "c"), n)  # reader comments end the body
+    body = [i for i in range(talk) if roles[i] == "p" and not furniture[i] and label[i] is not False]
+    if body:
+        first, last, widget = body[0], body[-1], False
+        for i in range(n):
+            if label[i] is not None:
+                continue
+            if i < first or i > last or roles[i] == "c":
+                label[i] = False
+            elif furniture[i]:
+                label[i], widget = False, True
+            elif roles[i] == "p":
+                label[i], widget = True, False
+            else:
+                label[i] = roles[i] == "b" or not widget
+        i = first - 1  # headline and author line stand before the first sentence
+        while i >= 0 and label[i] is False and page[i]["region"] < 0:
+            if roles[i] == "b":
                 label[i] = True
-                i += 1
-        page["main"] = [bool(x) for x in label]
-        return page[[f.name for f in schema]]
+            elif not furniture[i] and roles[i] != "c":
+                label[i] = True
+                break
+            i -= 1
+        i = last + 1  # a list or table may end the body
+        while i < n and page[i]["region"] < 0 and not furniture[i] and roles[i] in ("f", "b"):
+            label[i] = True
+            i += 1
+    return [x["line_no"] for x, main in zip(page, label) if main]
+
 
-    return judge
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _judged(pages: pd.Series) -> pd.Series:
+    return pd.Series([judge_unmarked([dict(x) for x in page]) for page in pages], dtype=object)
 
 
 def labelled_lines(df: DataFrame, key: str, url: str, markup: str, content: str) -> DataFrame:
@@ -275,11 +298,15 @@ def labelled_lines(df: DataFrame, key: str, url: str, markup: str, content: str)
     lines = rows.join(best, key, "left").withColumn("main", F.when(F.col("region") >= 0, F.coalesce(F.col("region") == F.col("_body"), F.lit(False)) & body_role))
     lines = lines.withColumn("_open", F.max((F.col("region") < 0).cast("int")).over(page))
     whole, cut_off = lines.where("_open = 0"), lines.where("_open = 1")
-    known = marked.join(best, key, "left").groupBy("h").agg(F.avg((F.coalesce(F.col("region") == F.col("_body"), F.lit(False)) & body_role).cast("double")).alias("known"))
-    cut_off = cut_off.join(known, "h", "left").select(key, "line_no", "region", "role", "known", "main")
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("line_no", T.IntegerType()), T.StructField("main", T.BooleanType())])
-    judged = cut_off.groupBy(key).applyInPandas(_judge_unmarked(key, schema), schema)
-    return whole.select(key, "line_no", "main").unionByName(judged).distinct()
+    judged = marked.where("h != 0").join(best, key, "left").select("h", "form", (F.coalesce(F.col("region") == F.col("_body"), F.lit(False)) & body_role).cast("double").alias("_in"))
+    by_line = judged.groupBy("h").agg(F.avg("_in").alias("_h"), F.count("*").alias("_nh")).where("_h < 0.02 and _nh >= 5").select("h", "_h")
+    by_form = judged.groupBy("form").agg(F.avg("_in").alias("_f"), F.count("*").alias("_nf")).where("_f < 0.1 and _nf >= 5").select("form", "_f")
+    cut_off = join_few(join_few(cut_off, by_line, ["h"], "left", key), by_form, ["form"], "left", key)
+    cut_off = cut_off.select(key, "line_no", "region", "role", (F.col("_h").isNotNull() | F.col("_f").isNotNull()).alias("furniture"), "main")
+    placed = cut_off.groupBy(key).agg(F.collect_list(F.struct("line_no", "region", "role", "furniture", "main")).alias("_page"))  # the lines of one page
+    placed = placed.select(key, F.col("_page.line_no").alias("_all"), _judged("_page").alias("_body")).select(key, F.explode(F.array_distinct("_all")).alias("line_no"), "_body")
+    placed = placed.select(key, "line_no", F.array_contains("_body", F.col("line_no")).alias("main"))
+    return whole.select(key, "line_no", "main").unionByName(placed).distinct()
 
 
 def outside_body(df: DataFrame, key: str, url: str, markup: str, content: str) -> DataFrame:
