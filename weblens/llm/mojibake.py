@@ -37,32 +37,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weblens.llm.common import join_few
 from weblens.session import write_shared
 
 SINGLE = ["cp1252", "latin-1", "iso8859-15", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp852"]
 TWICE = ["cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8-r", "cp866"]
 #: Bits of the bitmap of words that occur; a fixed size, whatever the corpus.
 BITMAP_BITS = 1 << 23
-_WORD = "[A-Za-z0-9]*[^\\x00-\\x7f][A-Za-z0-9\\x{80}-\\x{10ffff}]*"
+#: A run of ASCII letters and digits (group 1, up to 24 of them) before the first character beyond ASCII and what follows (group 2).
+#: The search starts at characters beyond ASCII, so ASCII text is passed over at once.
+_WORD = "(?=[^\\x00-\\x7f])(?:(?<=(?:^|[\\x00-/:-@\\[-`{-\\x7f])([A-Za-z0-9]{0,24}))|)([^\\x00-\\x7f][A-Za-z0-9\\x{80}-\\x{10ffff}]*+)"
 _LOST = re.compile("[\x80-\x9f\xad�]")
 _LOSS = "[\\x{80}-\\x{9f}\\x{fffd}]"
 
 
-#: Words of a line that shows a garbled sample to explain it.
+#: Words of a line that shows a garbled sample to explain it; SIGNS are parts of which every such line has one.
 EXPLAINING = (
     r"(?i)\bexample of\b|\bwrong(?:ly)? (?:read|decoded|encod)|\bcharsets?\b|\bcharacter sets?\b|\bencodings?\b|\bmojibake\b|\bmis-?(?:read|decoded)\b|\bgarbled\b"
     r"|zeichensatz|zeichenkodierung|\bencodage\b|codificaci[oó]n|codifica[cç][aã]o|кодировк|kodowani|pengodean"
 )
+SIGNS = ["xample of", "rong", "harset", "haracter set", "ncod", "ojibake", "mis", "Mis", "arbled", "eichens", "eichenk", "odifica", "одировк", "odowani", "engodean"]
 
 
 def evidence(text: Column) -> Column:
     """text without the lines that explain garbling."""
-    return F.when(text.rlike(EXPLAINING), F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(EXPLAINING)), "\n")).otherwise(text)
+    signs = text.contains(SIGNS[0])
+    for sign in SIGNS[1:]:
+        signs = signs | text.contains(sign)
+    return F.when(signs, F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(EXPLAINING)), "\n")).otherwise(text)
 
 
 def words(text: Column) -> Column:
     """ARRAY<STRING>: distinct words with a character beyond ASCII, numbers masked."""
-    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, "[0-9]+", "0"), F.lit(_WORD), F.lit(0)))
+    before, rest = (F.regexp_extract_all(text, F.lit(_WORD), F.lit(i)) for i in (1, 2))
+    return F.array_distinct(F.zip_with(before, rest, lambda a, b: F.regexp_replace(F.concat(a, b), "[0-9]+", "0")))
 
 
 def symbol_form(word: Column) -> Column:
@@ -160,7 +168,7 @@ def _bitmap(counted: DataFrame) -> np.ndarray:
 def garbled_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(word, original): the garbled words of the corpus with their most likely originals."""
     spark = docs.sparkSession
-    own = docs.where(F.col(text).isNotNull()).select(F.explode(words(F.col(text))).alias("word"))
+    own = docs.where(F.col(text).rlike("[^\\x00-\\x7f]")).select(F.explode(words(F.col(text))).alias("word"))
     counted = own.groupBy("word").agg(F.count("*").alias("df"))
     symbols = counted.where(F.col("word").rlike("[A-Za-z]") & F.col("word").rlike("[^A-Za-z0-9\\p{L}]")).groupBy(symbol_form(F.col("word")).alias("word")).agg(F.sum("df").alias("df"))
     counted = write_shared(counted.unionByName(symbols).groupBy("word").agg(F.max("df").alias("df")))
@@ -181,19 +189,17 @@ def _lost(word: Column) -> Column:
     return word.rlike(_LOSS) & ~word.rlike("^[“«„].*[”»“]$")
 
 
-def _hits(docs: DataFrame, key: str, text: str, table: DataFrame) -> DataFrame:
-    """(key, word, original): the garbled words of each document, each once, in full or symbol form."""
-    each = docs.where(F.col(text).isNotNull()).select(key, F.explode(words(evidence(F.col(text)))).alias("full"))
-    two = F.col("full").rlike("[A-Za-z]") & (F.length(F.regexp_replace("full", "[\\x00-\\x7f]", "")) >= 2)  # one character alone is too common for a symbol form
-    both = each.select(key, F.explode(F.array_distinct(F.array("full", F.when(two, symbol_form(F.col("full"))).otherwise(F.col("full"))))).alias("word"))
-    return both.join(table, "word")
+def _each(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, full, word): the words of each document, each once, in full and, where several characters beyond ASCII meet ASCII letters, in symbol form."""
+    each = docs.where(F.col(text).rlike("[^\\x00-\\x7f]")).select(key, evidence(F.col(text)).alias("_text")).select(key, F.explode(words(F.col("_text"))).alias("full"))
+    two = F.col("full").rlike("[A-Za-z][^\\x00-\\x7f]{2}|[^\\x00-\\x7f]{2}[A-Za-z]")  # one character alone is too common for a symbol form
+    return each.select(key, "full", F.explode(F.when(two, F.array_distinct(F.array("full", symbol_form(F.col("full"))))).otherwise(F.array("full"))).alias("word"))
 
 
 def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key): the documents with garbled text."""
-    table = garbled_words(docs, key, text).where(_strong(F.col("word"))).select("word")
-    lost = docs.where(F.col(text).rlike(_LOSS)).where(F.exists(words(evidence(F.col(text))), _lost)).select(key)
-    return _hits(docs, key, text, table).select(key).unionByName(lost).distinct()
+    table = garbled_words(docs, key, text).where(_strong(F.col("word"))).select("word", F.lit(True).alias("_known"))
+    return join_few(_each(docs, key, text), table, ["word"], "left", key).where(F.col("_known") | _lost(F.col("full"))).select(key).distinct()
 
 
 def restored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,7 +210,7 @@ def restored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     put right only beside a strong one.
     """
     table = garbled_words(docs, key, text)
-    hits = _hits(docs, key, text, table).groupBy(F.col(key).alias("_key")).agg(F.collect_set(F.struct("word", "original")).alias("_w"), F.max(_strong(F.col("word"))).alias("_sure")).where("_sure")
+    hits = join_few(_each(docs, key, text), table, ["word"], "inner", key).groupBy(F.col(key).alias("_key")).agg(F.collect_set(F.struct("word", "original")).alias("_w"), F.max(_strong(F.col("word"))).alias("_sure")).where("_sure")
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(text, T.StringType()), T.StructField("replaced", T.IntegerType())])
     pattern = re.compile("[A-Za-z0-9]*[^\x00-\x7f][A-Za-z0-9\x80-\U0010ffff]*")
 
