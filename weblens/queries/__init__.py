@@ -1,7 +1,7 @@
 """All core queries and the SQL that gives the same rows."""
 
-from weblens.queries import instants, scalars
+from weblens.queries import events, instants, ranking, scalars
 
-MODULES = [instants, scalars]
+MODULES = [instants, scalars, ranking, events]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
