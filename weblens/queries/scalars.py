@@ -161,7 +161,7 @@ ORACLES = {
     "norm_url": f"""WITH p AS (SELECT hit_id, lower(regexp_replace({_P.format(2)} || {_P.format(3)}, '/+$', '')) AS base,
       array_to_string(list_sort(list_filter(string_split({_P.format(4)}, '&'), lambda x: x <> '' AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_') AND lower(split_part(x, '=', 1)) NOT IN {_LIST(U.TRACKING_PARAMS)})), '&') AS qs FROM search_hits WHERE url IS NOT NULL)
       SELECT hit_id, CASE WHEN qs = '' THEN base ELSE base || '?' || qs END AS norm_url FROM p""",
-    "url_date": rf"SELECT hit_id, coalesce({_date('/(\d{4})/(\d{2})(?:/(\d{2}))?(?:/|$)')}, {_date('/(\d{4})-(\d{2})-(\d{2})(?:\D|$)')}, {_date('/(\d{4})(\d{2})(\d{2})(?:/|$)')}) AS url_date FROM search_hits WHERE url IS NOT NULL",
+    "url_date": rf"SELECT hit_id, coalesce({_date(r'/(\d{4})/(\d{2})(?:/(\d{2}))?(?:/|$)')}, {_date(r'/(\d{4})-(\d{2})-(\d{2})(?:\D|$)')}, {_date(r'/(\d{4})(\d{2})(\d{2})(?:/|$)')}) AS url_date FROM search_hits WHERE url IS NOT NULL",
     "authoritative": rf"SELECT hit_id, regexp_matches(regexp_replace({_HOST}, '^www\.', ''), '^(?:{'|'.join(p.replace('.', r'\.') for p in U.AUTHORITY_PREFIXES)})') OR regexp_matches('.' || regexp_replace({_HOST}, '^www\.', ''), '(?:{_AUTH})$') AS authoritative FROM search_hits WHERE url IS NOT NULL",
     "validate_url": rf"""SELECT hit_id, lower({_P.format(1)}) IN ('http', 'https') AND {_HOST} <> '' AND (regexp_extract({_P.format(2)}, ':([^:\]]*)$', 1) = '' OR coalesce(TRY_CAST(regexp_extract({_P.format(2)}, ':(\d{{1,5}})$', 1) AS INT) <= 65535, false)) AS valid,
       ends_with(lower({_P.format(3)}), '.pdf') AS pdf FROM search_hits WHERE url IS NOT NULL""",
