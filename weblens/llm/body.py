@@ -59,6 +59,8 @@ WRAPPER = 0.85
 #: Lines from this length on are not compared with lines of other pages.
 SHORT = 160
 _CAPITALISED = re.compile(r"(?<![\w])[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐÉĘĚĞÍŁŃŇŐŘŚŞŠŤŮŰŹŻŽА-ЯЁ][\w-]*")
+#: A form of which only masks are left says nothing.
+_MASKS = re.compile(r"(?:\bx\b|0|\W)*")
 #: Longest line that may be an author or date line, in characters.
 BYLINE_CHARS = 100
 
@@ -138,7 +140,7 @@ def _region(ids: tuple, names: list[str], depth: int) -> int:
 
 
 def _role(line: str, leaf: str, inner: list[str], linked: bool) -> str:
-    """h headline, s subheading, w widget heading, p sentences, b author or date line, q code or quotation, l list, t table, c comment, k link only, a aside, f fragment."""
+    """h headline, s subheading, w widget heading, p sentences, b author or date line, q code or quotation, l list, t table, c comment, k link only, n link item outside a list, a aside, f fragment."""
     tags = {x.split(".")[0] for x in inner}
     if leaf == "h1":
         return "h"
@@ -159,7 +161,7 @@ def _role(line: str, leaf: str, inner: list[str], linked: bool) -> str:
     if tags & {"ul", "ol", "dl"}:
         return "l"
     if linked:
-        return "k"
+        return "n" if leaf == "li" else "k"
     if _ENDS.search(line) and len(line) >= 25:
         return "p"
     if len(line) <= BYLINE_CHARS and (_DATED.search(line) or _BYLINE.match(line)):
@@ -193,6 +195,9 @@ def structure(markup: str | None, content: str) -> list[tuple[int, int, str, str
         if leaf == "li" and not linked and not any(x.split(".")[0] in ("ul", "ol") for x in names[end:]):
             leaf = ""
         out.append((number, ids[end - 1] if end else 0, "/".join(names[:end]), _role(line, leaf, names[end:], linked), len(bare)))
+    for i in range(2, len(out)):  # a sentence between the heading and the link items of a widget is its teaser
+        if out[i][3] == "n" and out[i - 1][3] == "p" and out[i - 2][3] in ("w", "f") and out[i][1] == out[i - 1][1] == out[i - 2][1]:
+            out[i - 1] = (*out[i - 1][:3], "e", out[i - 1][4])
     return out
 
 
@@ -205,7 +210,7 @@ def _hashes(texts: list[str]) -> np.ndarray:
 
 
 def page_lines(df: DataFrame, key: str, url: str, markup: str, content: str) -> DataFrame:
-    """(key, site, line_no, region, path, role, chars, h, form): the structure of all pages, region -1 without markup; h and form are hashes of the normalised line, form with capitalised words masked, 0 for lines of SHORT characters or more, which are judged by their place alone."""
+    """(key, site, line_no, region, path, role, chars, h, form): the structure of all pages, region -1 without markup; h and form are hashes of the normalised line, form with capitalised words masked; 0 for lines of SHORT characters or more, which are judged by their place alone, and for forms of masks alone."""
     schema = T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("site", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("line_no", "region")), *(T.StructField(n, T.StringType()) for n in ("path", "role")), T.StructField("chars", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("h", "form"))])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,7 +224,8 @@ def page_lines(df: DataFrame, key: str, url: str, markup: str, content: str) ->
                 for row in own:
                     line = text[row[0] - 1]
                     norms.append(_normal(line) if len(line) < SHORT else "")
-                    forms.append(_normal(_CAPITALISED.sub("X", line)) if len(line) < SHORT else "")
+                    form = _normal(_CAPITALISED.sub("X", line)) if len(line) < SHORT else ""
+                    forms.append("" if _MASKS.fullmatch(form) else form)
             out = pd.DataFrame(rows, columns=["line_no", "region", "path", "role", "chars"])
             for name in ("_key", "site"):
                 out[name] = batch[name].repeat(counts).to_numpy()
@@ -234,20 +240,22 @@ def page_lines(df: DataFrame, key: str, url: str, markup: str, content: str) ->
 
 def _score() -> Column:
     """For sentences, subheadings, quotations and a headline; against links, fragments and comments."""
-    return F.when(F.col("role") == "h", 400).when(F.col("role").isin("p", "q"), F.col("chars")).when(F.col("role").isin("s", "b"), 20).when(F.col("role").isin("k", "w", "c", "a", "f"), -F.col("chars")).otherwise(0)
+    return F.when(F.col("role") == "h", 400).when(F.col("role").isin("p", "q"), F.col("chars")).when(F.col("role").isin("s", "b"), 20).when(F.col("role").isin("k", "n", "w", "c", "a", "f", "e"), -F.col("chars")).otherwise(0)
 
 
 def judge_unmarked(lines: list[dict]) -> list[int]:
     """Numbers of the body's lines on a page of which lines lie on no markup, by their place and by what other pages made of the same line.
 
-    lines: line_no, region, role, main (NULL without markup) and furniture.
+    lines: line_no, region, role, main (NULL without markup), furniture and head
+    (furniture that other pages have as a heading of widgets).
     """
     page = list({x["line_no"]: x for x in lines}.values())
     page.sort(key=lambda x: x["line_no"])
     n = len(page)
     roles, furniture, label = [x["role"] for x in page], [x["furniture"] for x in page], [x["main"] for x in page]
     talk = next((i for i in range(n) if roles[i] == "c"), n)  # reader comments end the body
-    body = [i for i in range(talk) if roles[i] == "p" and not furniture[i] and label[i] is not False]
+    teasers = {i for i in range(1, n - 1) if roles[i] == "p" and page[i - 1]["head"] and roles[i + 1] == "f"}
+    body = [i for i in range(talk) if roles[i] == "p" and not furniture[i] and label[i] is not False and i not in teasers]
     if body:
         first, last, widget = body[0], body[-1], False
         for i in range(n):
@@ -257,6 +265,8 @@ def judge_unmarked(lines: list[dict]) -> list[int]:
                 label[i] = False
             elif furniture[i]:
                 label[i], widget = False, True
+            elif i in teasers:
+                label[i] = False
             elif roles[i] == "p":
                 label[i], widget = True, False
             else:
@@ -298,12 +308,12 @@ def labelled_lines(df: DataFrame, key: str, url: str, markup: str, content: str)
     lines = rows.join(best, key, "left").withColumn("main", F.when(F.col("region") >= 0, F.coalesce(F.col("region") == F.col("_body"), F.lit(False)) & body_role))
     lines = lines.withColumn("_open", F.max((F.col("region") < 0).cast("int")).over(page))
     whole, cut_off = lines.where("_open = 0"), lines.where("_open = 1")
-    judged = marked.where("h != 0").join(best, key, "left").select("h", "form", (F.coalesce(F.col("region") == F.col("_body"), F.lit(False)) & body_role).cast("double").alias("_in"))
-    by_line = judged.groupBy("h").agg(F.avg("_in").alias("_h"), F.count("*").alias("_nh")).where("_h < 0.02 and _nh >= 5").select("h", "_h")
-    by_form = judged.groupBy("form").agg(F.avg("_in").alias("_f"), F.count("*").alias("_nf")).where("_f < 0.1 and _nf >= 5").select("form", "_f")
+    judged = marked.where("h != 0").join(best, key, "left").select("h", "form", (F.coalesce(F.col("region") == F.col("_body"), F.lit(False)) & body_role).cast("double").alias("_in"), (F.col("role") == "w").cast("double").alias("_w"))
+    by_line = judged.groupBy("h").agg(F.avg("_in").alias("_h"), F.count("*").alias("_n"), F.avg("_w").alias("_wh")).where("_h < 0.02 and _n >= 5").select("h", "_h", "_wh")
+    by_form = judged.where("form != 0").groupBy("form").agg(F.avg("_in").alias("_f"), F.count("*").alias("_n"), F.avg("_w").alias("_wf")).where("_f < 0.1 and _n >= 5").select("form", "_f", "_wf")
     cut_off = join_few(join_few(cut_off, by_line, ["h"], "left", key), by_form, ["form"], "left", key)
-    cut_off = cut_off.select(key, "line_no", "region", "role", (F.col("_h").isNotNull() | F.col("_f").isNotNull()).alias("furniture"), "main")
-    placed = cut_off.groupBy(key).agg(F.collect_list(F.struct("line_no", "region", "role", "furniture", "main")).alias("_page"))  # the lines of one page
+    cut_off = cut_off.select(key, "line_no", "region", "role", (F.col("_h").isNotNull() | F.col("_f").isNotNull()).alias("furniture"), (F.greatest(F.coalesce("_wh", F.lit(0.0)), F.coalesce("_wf", F.lit(0.0))) > 0.2).alias("head"), "main")
+    placed = cut_off.groupBy(key).agg(F.collect_list(F.struct("line_no", "region", "role", "furniture", "head", "main")).alias("_page"))  # the lines of one page
     placed = placed.select(key, F.col("_page.line_no").alias("_all"), _judged("_page").alias("_body")).select(key, F.explode(F.array_distinct("_all")).alias("line_no"), "_body")
     placed = placed.select(key, "line_no", F.array_contains("_body", F.col("line_no")).alias("main"))
     return whole.select(key, "line_no", "main").unionByName(placed).distinct()
