@@ -111,7 +111,8 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     wanted = {r["source"]: r for r in targets.where(F.col("source").isNotNull()).dropDuplicates(["source"]).limit(MAX_TARGETS + 1).collect()}
     if len(wanted) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
-    own = docs.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col("source").isin(*wanted)).select(key, "source", F.lower(F.substring("lang", 1, 2)).alias("lang"), text)
+    named = F.broadcast(spark.createDataFrame([(x,) for x in wanted], "source string"))  # at most MAX_TARGETS rows
+    own = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).join(named, "source", "left_semi").select(key, "source", F.lower(F.substring("lang", 1, 2)).alias("lang"), text)
     counted = token_counts(own, text, path).groupBy(key).agg(F.max(F.struct("source", "n_tokens", "lang")).alias("_r")).select(key, "_r.*").where("n_tokens > 0")
     counted = write_shared(counted)
     by_lang = counted.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")).groupBy("source").agg(F.sum("n").alias("n"), F.max_by("lang", F.struct("n", "lang")).alias("lang"))
