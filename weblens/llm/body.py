@@ -299,9 +299,9 @@ def labelled_lines(df: DataFrame, key: str, url: str, markup: str, content: str)
     regions = regions.withColumn("score", F.greatest("score", F.lit(0)))
     page = Window.partitionBy(key)
     top = regions.withColumn("_top", F.max(F.struct("score", -F.col("region"))).over(page)).withColumn("_share", F.when((F.col("_top.score") == F.col("score")) & (F.col("score") > 0), 1).otherwise(0))
-    top = write_shared(top.drop("_top"))
-    votes = top.where("site is not null").groupBy("site", "path").agg(F.sum("_share").alias("votes"), F.count("*").alias("seen"))
-    voted = join_few(top, votes, ["site", "path"], "left", key)
+    top = write_shared(top.withColumn("_vote", F.xxhash64("site", "path")).drop("_top"))
+    votes = top.where("site is not null").groupBy("_vote").agg(F.sum("_share").alias("votes"))
+    voted = join_few(top, votes, ["_vote"], "left", key)
     weight = F.col("score") * (F.coalesce(F.col("votes"), F.lit(0)) + 1)
     best = voted.groupBy(key).agg(F.max(F.struct(weight.alias("w"), "score", -F.col("region"), "region", "path")).alias("b")).where("b.w > 0").select(key, F.col("b.region").alias("_body"))
     body_role = F.col("role").isin("h", "s", "p", "b", "q", "l", "t")
