@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,10 +24,21 @@ def session(cores: int = 8, partitions: int | None = None) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    reachable(spark)
     return spark
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it; on a cluster it lies there on every node, or is sent with --py-files."""
+    own = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if own not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (own, known) if x)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
