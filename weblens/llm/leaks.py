@@ -100,8 +100,8 @@ class Passages:
 
     def __init__(self, items: list[tuple[int, str]], words: int, edits: int):
         self.words, self.edits = words, edits
-        self.items = [(i, t, w) for i, t in items if (w := _windows(t, words))]
-        shortest = [min(b - a for a, b in w) for _, _, w in self.items]
+        self.items = [(i, t, np.array(w, np.int64)) for i, t in items if (w := _windows(t, words))]
+        shortest = [int((w[:, 1] - w[:, 0]).min()) for _, _, w in self.items]
         self.q = max(2, min([MAX_Q, *(n // (edits + 2) + 1 for n in shortest)]))
         self.bound = np.array([max(1, n - self.q + 1 - edits * self.q) for n in shortest], np.int64)
         parts = [_grams(_codes(t), self.q) for _, t, _ in self.items]
@@ -137,19 +137,25 @@ class Passages:
         band = (at - starts[doc] - self.pos[entry]) // step
         shift = np.int64(1) << np.int64(31)
         base = (doc * len(self.items) + item) * shift + (band + (shift >> np.int64(1)))
-        keys = base if self.edits == 0 else np.concatenate([base, base - 1])
-        bands, n = np.unique(keys, return_counts=True)
+        pos = self.pos[entry]
+        keys, pos = (base, pos) if self.edits == 0 else (np.concatenate([base, base - 1]), np.concatenate([pos, pos]))
+        order = np.argsort(keys, kind="stable")
+        bands, begin, n = np.unique(keys[order], return_index=True, return_counts=True)
         group = bands // shift
-        for key, pair in zip(bands[n >= self.bound[group % len(self.items)]], group[n >= self.bound[group % len(self.items)]]):
-            d, i = divmod(int(pair), len(self.items))
+        for r in np.flatnonzero(n >= self.bound[group % len(self.items)]):
+            d, i = divmod(int(group[r]), len(self.items))
             item_id, passage, windows = self.items[i]
             if (d, item_id) in out:
                 continue
-            low = (int(key % shift) - int(shift >> np.int64(1))) * step
-            for a, b in windows:
-                begin = max(0, a + low - self.edits)
-                piece = texts[d][begin : max(0, b + low + (2 * step - 1 if self.edits else 0) + self.edits)]
-                if edits_within(passage[a:b], piece, self.edits):
+            low = (int(bands[r] % shift) - int(shift >> np.int64(1))) * step
+            here = np.unique(pos[order[begin[r] : begin[r] + n[r]]])
+            first, last = windows[:, 0], windows[:, 1]
+            inside = np.searchsorted(here, last - self.q, "right") - np.searchsorted(here, first, "left")
+            enough = inside >= np.maximum(1, last - first - self.q + 1 - self.edits * self.q)  # the lemma for each window
+            for a, b in windows[enough].tolist():
+                start = max(0, a + low - self.edits)
+                piece = texts[d][start : max(0, b + low + (2 * step - 1 if self.edits else 0) + self.edits)]
+                if passage[a:b] in piece or (self.edits and edits_within(passage[a:b], piece, self.edits)):
                     out.add((d, item_id))
                     break
         return out
