@@ -34,8 +34,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source without the lines of its site's near-duplicate clusters."""
-    sources = table(spark, sf_dir, "research_sources").select("src_id", "final_url", "content").dropDuplicates(["src_id"])
-    return without_lines(sources, repeated_near(sources, "src_id", "final_url", "content"), "src_id", "content")
+    sources = table(spark, sf_dir, "research_sources").select("src_id", "final_url", "content")
+    return without_lines(sources.dropDuplicates(["src_id"]), repeated_near(sources, "src_id", "final_url", "content"), "src_id", "content")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
