@@ -119,6 +119,25 @@ def test_residue_cases(spark):
     assert {list(RESIDUE)[i] for i in got} == {t for t, yes in RESIDUE.items() if yes}
 
 
+#: At least one text for every pattern of RESIDUE.
+SPELLINGS = [
+    "{{ x }}", "{% x %}", "<% x %>", "${x}", "#{x}", "[[x]]", "@@x@@", "*|x|*", "__x__", "%DATE%", "#DATE#", "{x}", "[insert name]", "[ad_placeholder]", "<your name>", "TODO", "FIXME", "TKTK", "[object Object]", "undefined", "NaN", "null null", "XX:XX",
+    "lorem ipsum", *[f"{x} and dolor" for x in "consectetur adipiscing eiusmod incididunt ullamco excepteur cupidatat proident occaecat".split()], *[f"your {x} here" for x in "text headline title content name caption".split()], "sample headline goes here",
+    "hier steht ihr text", "hier steht der text", "judul berita di sini", "su texto aquí", "tu texto aqui", "votre texte ici", "seu texto aqui", "twój tekst tutaj", "twoj tekst tutaj", "ваш текст здесь",
+]
+
+
+def test_residue_signs_pass_every_spelling(spark):
+    texts = sorted({f"Before {y} after." for x in SPELLINGS for y in (x, x.lower(), x.title(), x.upper(), x.replace(" ", "\n"), x.replace(" ", "  ").upper())})
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = {p: {r["t"] for r in df.where(F.col("t").rlike(p)).collect()} for p in Z.RESIDUE}
+    assert all(plain.values())
+    got = {r["t"] for r in df.where(Z.has_residue(F.col("t"))).collect()}
+    assert got == set().union(*plain.values())
+    words = SPELLINGS[SPELLINGS.index("lorem ipsum") :]
+    assert {f"Before {y} after." for x in words for y in (x, x.title(), x.upper())} <= got
+
+
 def test_messages_in_place_of_articles(spark):
     article = "\n".join(f"Sentence {'abcdefghij'[i % 10]} of a real article tells in many words what happened that day to the {i} people." for i in range(40))
     rows = [(i, "https://foo.test/", f"Legal notice of Foo\n{article.replace('day', 'day' * (i + 1))}") for i in range(6)]

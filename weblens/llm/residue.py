@@ -40,7 +40,7 @@ RESIDUE = [
     r"\[object Object\]", r"\bundefined\b", r"\bNaN\b", r"\bnull(?: null)+\b", r"\bXX[.:/-]XX\b",
     r"(?i:\blorem\s+ipsum\b)", r"(?i:\b(?:consectetur|adipiscing|eiusmod|incididunt|ullamco|excepteur|cupidatat|proident|occaecat)\b[^\n]{0,80}\b(?:lorem|ipsum|dolor|amet|tempor|labore|veniam|nostrud|nisi|irure|velit|cillum|pariatur|sint|mollit)\b)",
     r"(?i:\b(?:your|sample|placeholder|dummy)\s+(?:text|headline|title|content|name|caption)\s+(?:goes\s+)?here\b)", r"(?i:\bhier\s+steht\s+(?:ihr|der)\s+text\b)", r"(?i:\b(?:judul|isi|teks)\s+\w+\s+di\s+sini\b)",
-    r"(?i:\b(?:su|tu|votre|seu|tw[oó]j)\s+(?:texto|texte|tekst)\s+(?:aqu[ií]|ici|tutaj)\b)", r"(?i:\bваш\s+текст\s+здесь\b)",
+    r"(?i:\b(?:su|tu|votre|seu|tw[oóÓ]j)\s+(?:texto|texte|tekst)\s+(?:aqu[iíÍ]|ici|tutaj)(?![\p{L}\p{N}_]))", r"(?iu:(?<![\p{L}\p{N}_])ваш\s+текст\s+здесь(?![\p{L}\p{N}_]))",
 ]
 #: Messages that stand in place of an article; each must fill a line.
 MESSAGES = [
@@ -64,21 +64,32 @@ def unquoted(content: Column) -> Column:
     return F.regexp_replace(content, _QUOTED, " ")
 
 
-#: Signs that any residue has: RESIDUE is tested only where one occurs. Patterns led by a symbol share SYMBOLS, which fails on most characters at once.
+#: RESIDUE is tested only where one of its signs occurs: each pattern has one here that it cannot match without. Patterns led by a symbol share SYMBOLS, which fails on most characters at once.
 SYMBOLS = r"(?=[{<$#\[@*_%])(?:\{\{|\{%|<%|[$#]\{|\[\[|@@|\*\||__[A-Za-z]|%[A-Za-z]\w{1,40}%|#[A-Za-z]\w{1,40}#|\{[A-Za-z_]|\[(?i:insert|enter|your|add)\b|\[\w{1,40}_(?i:PLACEHOLDER)\]|<(?i:your|insert|enter)\b|\[object)"
-SIGNS = [
-    "TODO", "FIXME", "TKTK", "undefined", "NaN", "null null", "XX", "orem ipsum", "OREM IPSUM", "onsectetur", "dipiscing", "iusmod", "ncididunt", "llamco", "xcepteur", "upidatat", "roident", "ccaecat",
-    "ext here", "eadline here", "itle here", "ontent here", "ame here", "aption here", "goes here", "steht Ihr", "steht ihr", "steht der", "di sini", "texto aqu", "texte ici", "tekst tutaj", "текст здесь",
-]
+#: Parts of the patterns that tell capitals from small letters.
+SIGNS = ["TODO", "FIXME", "TKTK", "undefined", "NaN", "null null", "XX"]
+#: Single words of the patterns that do not, looked for in the lower-cased text; the words before "here" need a pattern, as "here" is in too many texts.
+LOWER_SIGNS = ["lorem", "consectetur", "adipiscing", "eiusmod", "incididunt", "ullamco", "excepteur", "cupidatat", "proident", "occaecat", "steht", "sini", "texto", "texte", "tekst", "текст"]
+HERE = r"(?=[thcng])(?:text|headline|title|content|name|caption|goes)\s+here"
+
+
+def _signs(content: Column) -> Column:
+    def lower_signs(text: Column) -> Column:
+        some = text.contains("here") & text.rlike(HERE)
+        for sign in LOWER_SIGNS:
+            some = some | text.contains(sign)
+        return some
+
+    some = content.rlike(SYMBOLS)
+    for sign in SIGNS:
+        some = some | content.contains(sign)
+    return some | F.exists(F.array(F.lower(content)), lower_signs)  # lower-cased once
 
 
 def has_residue(content: Column) -> Column:
     """Whether text outside code and quotations has a placeholder, a left literal or filler. Cheap signs are tested first, then the plain text, then the text without code and quotations."""
     any_of = "|".join(RESIDUE)
-    signs = content.rlike(SYMBOLS)
-    for sign in SIGNS:
-        signs = signs | content.contains(sign)
-    return signs & content.rlike(any_of) & unquoted(content).rlike(any_of)
+    return _signs(content) & content.rlike(any_of) & unquoted(content).rlike(any_of)
 
 
 def message_records(df: DataFrame, key: str, url: str, content: str, least: int = 5, most_article: int = 600) -> DataFrame:
