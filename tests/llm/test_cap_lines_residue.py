@@ -105,6 +105,40 @@ def test_near_duplicate_lines_form_clusters(spark):
     assert L.repeated_exact(df, "k", "u", "t").count() == 0
 
 
+def test_near_clusters_are_whole(spark):
+    words = "alfa bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango uniform victor whiskey xray".split()
+    chain = [" ".join(words + [f"t{c}" for c in "abcdefgh"[:k]]) for k in range(8)]  # each alike to the next
+    rows = [(i, f"exact line kept in all of these\n{chain[i]}") for i in range(8)]
+    other = [" ".join([*words[:12], f"q{c}", *words[13:]]) for c in "abcdefghijkl"]  # half alike, each in one document
+    rows += [(20 + i, x) for i, x in enumerate(other)]
+    df = spark.createDataFrame([(k, "https://foo.test/", t) for k, t in rows], "k long, u string, t string")
+    near = {tuple(r) for r in L.repeated_near(df, "k", "u", "t").collect()}
+    exact = {tuple(r) for r in L.repeated_exact(df, "k", "u", "t").collect()}
+    assert exact == {(i, 1) for i in range(8)} and near == exact | {(i, 2) for i in range(8)}
+
+
+def test_links_match_all_pairs():
+    rng = random.Random(5)
+    for _ in range(200):
+        base = [rng.choices("a b c d e f g h".split(), k=rng.randint(3, 40)) for _ in range(3)]
+        texts = []
+        for _ in range(12):
+            w = list(rng.choice(base))
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = rng.choice("xyz")
+            texts.append(" ".join(w))
+        sets = [L._shingles(x) for x in texts]
+        group = list(range(12))
+        for i in range(12):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    group = [group[j] if g == group[i] else g for g in group]
+        got = list(range(12))
+        for i, j in L.links(texts):
+            got = [got[i] if g == got[j] else g for g in got]
+        assert {frozenset(i for i in range(12) if x[i] == v) for x in (got,) for v in x} == {frozenset(i for i in range(12) if x[i] == v) for x in (group,) for v in x}
+
+
 RESIDUE = {
     "Hello {{ user.name }}, welcome": True, "Price: ${price} today": True, "<%= page.title %>": True, "[insert caption here]": True, "lorem ipsum dolor sit amet": True,
     "value undefined here": True, "[object Object]": True, "Your text here": True, "%PUBLISH_DATE%": True, "use `{{ x }}` in a template": False, "```\n{{ x }}\n```": False,
