@@ -117,6 +117,14 @@ def test_near_clusters_are_whole(spark):
     assert exact == {(i, 1) for i in range(8)} and near == exact | {(i, 2) for i in range(8)}
 
 
+def test_names_and_weekdays_are_masked(spark):
+    people = ["Anna Kowalska", "Bo Lind", "Çelik Öz", "Dora O’Neil", "Эльза Иванова", "Finn J. Maas", "Gil"]
+    days = "Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag".split()
+    rows = [(i, "https://foo.test/", f"By {p}, 3 min read\nQuestions? Write to {p if i < 6 else 'Gil Roe'} of our desk.\nAusgabe vom {d}\nThe Tall {p} Story Of Today") for i, (p, d) in enumerate(zip(people, days))]
+    near = {tuple(r) for r in L.repeated_near(spark.createDataFrame(rows, "k long, u string, t string"), "k", "u", "t").collect()}
+    assert near == {(i, n) for i in range(7) for n in (1, 2, 3)}
+
+
 def test_links_match_all_pairs():
     rng = random.Random(5)
     for _ in range(200):
