@@ -151,3 +151,11 @@ def test_forms_commute_with_ascii():
         forms = J.garbled_forms(word)
         assert word.encode().decode("cp437") in forms and word not in forms
         assert word.encode().decode("latin-1") in forms
+
+
+def test_explaining_sentences_keep_other_evidence(spark):
+    good = [(i, f"Größere Verträge für die Behörden, Nummer {i}.") for i in range(8)]
+    bad = ["GrÃ¶ÃŸere VertrÃ¤ge are an example of what fÃ¼r die BehÃ¶rden means.", "GrÃ¶ÃŸere VertrÃ¤ge. The encoding of the file is set in the header.", "The encodings fÃ¼r BehÃ¶rden are set here."]
+    quoting = ["The manual prints Ã¼ as an example of a wrongly read letter.", "Readers saw “fÃ¼r” where “für” was stored, in a note on charset headers.", "We read fÃ¼r as an example of garbled text."]
+    df = spark.createDataFrame(good + [(100 + i, t) for i, t in enumerate(bad)] + [(200 + i, t) for i, t in enumerate(quoting)], "doc_id long, text string")
+    assert {r["doc_id"] for r in J.found(df).collect()} == {100, 101, 102}

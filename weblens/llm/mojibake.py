@@ -14,8 +14,8 @@ counts, so that rare names beside a garbled apostrophe are covered.
 A document is listed if it has a garbled word of at least three letters or two
 characters beyond ASCII, or a word with a replacement or C1 control character
 (loss beyond restoring). A sample that stands alone between quotation marks is
-another word than the sample itself and is thereby left out; lines that explain
-garbling (EXPLAINING) are left out, too.
+another word than the sample itself and is thereby left out; of sentences that
+explain garbling (EXPLAINING) the SAMPLEs are left out, too, and only these.
 
 Plan: two scans. Word counts combine on the map side; generated forms are
 filtered by a bitmap of fixed size of the words that occur at all before they are
@@ -51,7 +51,7 @@ _LOST = re.compile("[\x80-\x9f\xad�]")
 _LOSS = "[\\x{80}-\\x{9f}\\x{fffd}]"
 
 
-#: Words of a line that shows a garbled sample to explain it; SIGNS are parts of which every such line has one.
+#: Words of a sentence that shows a garbled sample to explain it; SIGNS are parts of which every such sentence has one.
 EXPLAINING = (
     r"(?i)\bexample of\b|\bwrong(?:ly)? (?:read|decoded|encod)|\bcharsets?\b|\bcharacter sets?\b|\bencodings?\b|\bmojibake\b|\bmis-?(?:read|decoded)\b|\bgarbled\b"
     r"|zeichensatz|zeichenkodierung|\bencodage\b|codificaci[oó]n|codifica[cç][aã]o|кодировк|kodowani|pengodean"
@@ -59,12 +59,20 @@ EXPLAINING = (
 SIGNS = ["xample of", "rong", "harset", "haracter set", "ncod", "ojibake", "mis", "Mis", "arbled", "eichens", "eichenk", "odifica", "одировк", "odowani", "engodean"]
 
 
+#: Samples in a sentence that explains: quoted, of characters beyond ASCII alone, or the word beside "an example of".
+SAMPLE = (
+    r"“[^“”\n]{0,60}”|„[^“”„\n]{0,60}[“”]|«[^«»\n]{0,60}»|‘[^‘’\n]{0,60}’|\"[^\"\n]{0,60}\"|`[^`\n]{0,60}`|(?<!\w)'[^'\n]{1,60}'(?!\w)"
+    r"|(?<![^\s(\[/:,;=])[^\x00-\x7f]{1,8}(?![^\s)\]/:,.;=!?])|\S+(?=\s+(?:(?:as|is|was)\s+)?(?i:an example of\b))|(?i:(?<=\bexample of ))(?:an?\s+)?\S+"
+)
+
+
 def evidence(text: Column) -> Column:
-    """text without the lines that explain garbling."""
+    """text without the samples of sentences that explain garbling; their other words stay."""
     signs = text.contains(SIGNS[0])
     for sign in SIGNS[1:]:
         signs = signs | text.contains(sign)
-    return F.when(signs, F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(EXPLAINING)), "\n")).otherwise(text)
+    parts = F.split(text, r"\n|(?<=[.!?])\s+(?=\p{Lu})")
+    return F.when(signs, F.array_join(F.transform(parts, lambda x: F.when(x.rlike(EXPLAINING), F.regexp_replace(x, SAMPLE, " ")).otherwise(x)), "\n")).otherwise(text)
 
 
 def words(text: Column) -> Column:
