@@ -159,3 +159,21 @@ def test_explaining_sentences_keep_other_evidence(spark):
     quoting = ["The manual prints Ã¼ as an example of a wrongly read letter.", "Readers saw “fÃ¼r” where “für” was stored, in a note on charset headers.", "We read fÃ¼r as an example of garbled text."]
     df = spark.createDataFrame(good + [(100 + i, t) for i, t in enumerate(bad)] + [(200 + i, t) for i, t in enumerate(quoting)], "doc_id long, text string")
     assert {r["doc_id"] for r in J.found(df).collect()} == {100, 101, 102}
+
+
+def test_more_garbled_than_right_texts(spark):
+    right = "Größere Verträge für die Behörden."
+    texts = [right, "Größere Verträge für die Behörden, heute.", "Überraschend zögerlich"]
+    for chain in (("utf-8", "cp1252"), ("cp1252", "cp437")):
+        garble = lambda x, c=chain: x.encode(c[0]).decode(c[1])
+        rows = [(i, x) for i, x in enumerate(texts)]
+        rows += [(100 + i, garble(f"{right} Teil {'abcdefgh'[i]}")) for i in range(8)] + [(200 + i, garble(right)) for i in range(20)] + [(300, garble(texts[2]))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r["doc_id"] for r in J.found(df).collect()} == {k for k, _ in rows if k >= 100}
+        back = {r["doc_id"]: r["text"] for r in J.restored(df).collect()}
+        assert back[200] == right and back[300] == texts[2]
+
+
+def test_copies_count_once(spark):
+    rows = [(i, "La pčre a parlé.") for i in range(9)] + [(20, "Le père a dit."), (21, "Un père a ri.")]
+    assert {r["word"]: r["original"] for r in J.garbled_words(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()} == {"pčre": "père"}

@@ -5,7 +5,12 @@ distinct word its garbled forms under all encoding chains (one wrong decoding,
 UTF-8 taken for another encoding twice or three times, and losses: undefined
 bytes replaced or dropped) are generated, and the words of the documents are
 hash-joined with this table. A word is garbled if it is such a form of a word
-that more documents have; the original is the most frequent of these. All
+that more different texts have, or if the direction is plain (directed): its
+bytes are the original in UTF-8, or symbols or letters of another script stand
+among its letters where the original has letters of one script only. A plain direction holds whatever the counts, as
+garbled texts may be the greater part. The original is the most frequent one that
+is not garbled itself. Words of letters that two single-byte encodings turn into
+each other have no plain direction: there the counts alone decide. All
 encodings used leave ASCII alone, so a word is a run of ASCII letters, digits and
 characters beyond ASCII with its numbers masked; of words with a symbol
 (quotation mark, dash, currency) a second form with ASCII letters masked also
@@ -29,6 +34,7 @@ ties between originals of equal frequency go to the smaller one.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,6 +131,38 @@ def garbled_forms(word: str) -> set[str]:
     return {f for f in out if f != word and f and not f.isascii()}
 
 
+def _repaired(word: str) -> set[str]:
+    """What the word's bytes, taken in an encoding, are in UTF-8."""
+    out = set()
+    for name in SINGLE:
+        try:
+            data = b"".join(c.encode(name) if ord(c) > 0x9F or ord(c) < 0x80 else bytes([ord(c)]) for c in word)
+            out.add(data.decode("utf-8"))
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            pass
+    return out - {word}
+
+
+#: Symbols between letters, and box drawings beside one.
+_SYMBOL_WITHIN = re.compile(r"(?<=[^\W\d_])[^\w\s'’‘´`·.,:;/–—-]+(?=[^\W\d_])|(?<=[^\W\d_])[\u2500-\u259f]|[\u2500-\u259f](?=[^\W\d_])")
+
+
+def _scripts(word: str) -> set[str]:
+    """Scripts of the word's letters, as their names begin; º and ª belong to any."""
+    return {unicodedata.name(c, "").split(" ")[0] for c in word if c.isalpha() and c not in "ºª"}
+
+
+def directed(form: str, original: str) -> bool:
+    """Whether only form can be the garbled one of the two."""
+    seen = step = {form}
+    for _ in range(3):
+        step = {y for x in step for y in _repaired(x)} - seen
+        if original in step:
+            return True
+        seen = seen | step
+    return original.isalnum() and len(_scripts(original)) == 1 and (len(_scripts(form)) > 1 or _SYMBOL_WITHIN.search(form) is not None)
+
+
 _FORMS: dict[str, list[str]] = {}
 
 
@@ -138,7 +176,7 @@ def _forms(skeleton: str) -> list[tuple[str, ...]]:
 
 
 def _generated(batches: Iterator[pd.DataFrame], sent) -> Iterator[pd.DataFrame]:
-    """(form, original, df) of the forms that the bitmap knows."""
+    """(form, original, df, plain) of the forms that the bitmap knows, without those of which the original is plainly the garbled one."""
     bitmap = sent.value
     for batch in batches:
         rows = []
@@ -155,7 +193,10 @@ def _generated(batches: Iterator[pd.DataFrame], sent) -> Iterator[pd.DataFrame]:
         if rows:
             out = pd.DataFrame(rows, columns=["form", "original", "df"])
             slot = pd.util.hash_array(out["form"].to_numpy(object), categorize=False) % np.uint64(BITMAP_BITS)
-            yield out[(bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            out = out[(bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            pairs = list(zip(out["form"], out["original"]))
+            out["plain"] = np.array([directed(f, w) for f, w in pairs], bool)
+            yield out[out["plain"].to_numpy() | ~np.array([directed(w, f) for f, w in pairs], bool)]
 
 
 @F.pandas_udf(T.LongType())
@@ -176,16 +217,19 @@ def _bitmap(counted: DataFrame) -> np.ndarray:
 def garbled_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(word, original): the garbled words of the corpus with their most likely originals."""
     spark = docs.sparkSession
-    own = docs.where(F.col(text).rlike("[^\\x00-\\x7f]")).select(F.explode(words(F.col(text))).alias("word"))
+    own = docs.where(F.col(text).rlike("[^\\x00-\\x7f]")).select(F.xxhash64(text).alias("_t"), F.explode(words(F.col(text))).alias("word")).distinct()  # copies of a text count once
     counted = own.groupBy("word").agg(F.count("*").alias("df"))
     symbols = counted.where(F.col("word").rlike("[A-Za-z]") & F.col("word").rlike("[^A-Za-z0-9\\p{L}]")).groupBy(symbol_form(F.col("word")).alias("word")).agg(F.sum("df").alias("df"))
     counted = write_shared(counted.unionByName(symbols).groupBy("word").agg(F.max("df").alias("df")))
     sent = spark.sparkContext.broadcast(_bitmap(counted))
-    schema = T.StructType([T.StructField("form", T.StringType()), T.StructField("original", T.StringType()), T.StructField("df", T.LongType())])
+    schema = T.StructType([T.StructField("form", T.StringType()), T.StructField("original", T.StringType()), T.StructField("df", T.LongType()), T.StructField("plain", T.BooleanType())])
     clean = counted.where(~F.col("word").rlike(_LOSS))
-    forms = clean.mapInPandas(lambda batches: _generated(batches, sent), schema).groupBy("form").agg(F.max(F.struct("df", "original")).alias("best"))
-    joined = counted.join(forms, F.col("word") == F.col("form"))
-    return joined.where(F.col("best.df") > F.col("df")).select("word", F.col("best.original").alias("original"))
+    forms = clean.mapInPandas(lambda batches: _generated(batches, sent), schema)
+    pairs = counted.withColumnRenamed("df", "_own").join(forms, F.col("word") == F.col("form")).where(F.col("plain") | (F.col("df") > F.col("_own"))).select("word", "original", "df").distinct()
+    pairs = write_shared(pairs)
+    garbled = pairs.select(F.col("word").alias("original"), F.lit(True).alias("_garbled")).distinct()
+    ranked = pairs.join(garbled, "original", "left").groupBy("word").agg(F.max(F.struct(F.col("_garbled").isNull().alias("clean"), "df", "original")).alias("best"))
+    return ranked.select("word", F.col("best.original").alias("original"))
 
 
 def _strong(word: Column) -> Column:
