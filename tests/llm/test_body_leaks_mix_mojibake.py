@@ -177,3 +177,19 @@ def test_more_garbled_than_right_texts(spark):
 def test_copies_count_once(spark):
     rows = [(i, "La pčre a parlé.") for i in range(9)] + [(20, "Le père a dit."), (21, "Un père a ri.")]
     assert {r["word"]: r["original"] for r in J.garbled_words(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()} == {"pčre": "père"}
+
+
+def test_long_furniture_is_known_on_pages_without_markup(spark):
+    rng, rows = random.Random(9), []
+    notice = "We and our partners store and read cookies on your device to measure reach, to show advertising that suits you and to find out how our pages are used; you may object at any time in the settings."
+    for n in range(12):
+        html, text, main = page(rng, n)
+        at = text.index(SENTENCES[0][:4], text.index("Share · Print"))
+        at = text.index("\n", at) + 1  # after the first sentence
+        text = text[:at] + notice + "\n" + text[at:]
+        first = text[:at].split("\n")[-2]
+        html = html.replace(f"<p>{first}", f'<p>{first}<aside>{notice}</aside>')
+        rows.append((n, "https://www.foo.test/x", html if n < 11 else None, text))
+    df = spark.createDataFrame(rows, "k long, u string, html string, content string")
+    bodies = {r["k"]: r["body"] for r in B.main_body(df, "k", "u", "html", "content").collect()}
+    assert len(notice) >= 160 and all(notice not in x for x in bodies.values()) and all("council" in x for x in bodies.values())

@@ -56,8 +56,6 @@ _BYLINE = re.compile(r"^\s*(?:by|von|oleh|par|por|de|text|teks|autor|author|ав
 _ENDS = re.compile(r"[.!?…。][\"”“»')\]]*\s*$")
 #: Share of a page's text from which a container without text of its own is a wrapper.
 WRAPPER = 0.85
-#: Lines from this length on are not compared with lines of other pages.
-SHORT = 160
 _CAPITALISED = re.compile(r"(?<![\w])[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐÉĘĚĞÍŁŃŇŐŘŚŞŠŤŮŰŹŻŽА-ЯЁ][\w-]*")
 #: A form of which only masks are left says nothing.
 _MASKS = re.compile(r"(?:\bx\b|0|\W)*")
@@ -210,7 +208,7 @@ def _hashes(texts: list[str]) -> np.ndarray:
 
 
 def page_lines(df: DataFrame, key: str, url: str, markup: str, content: str) -> DataFrame:
-    """(key, site, line_no, region, path, role, chars, h, form): the structure of all pages, region -1 without markup; h and form are hashes of the normalised line, form with capitalised words masked; 0 for lines of SHORT characters or more, which are judged by their place alone, and for forms of masks alone."""
+    """(key, site, line_no, region, path, role, chars, h, form): the structure of all pages, region -1 without markup; h and form are hashes of the normalised line, form with capitalised words masked; 0 for forms of masks alone."""
     schema = T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("site", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("line_no", "region")), *(T.StructField(n, T.StringType()) for n in ("path", "role")), T.StructField("chars", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("h", "form"))])
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,8 +221,8 @@ def page_lines(df: DataFrame, key: str, url: str, markup: str, content: str) ->
                 text = content_.split("\n")
                 for row in own:
                     line = text[row[0] - 1]
-                    norms.append(_normal(line) if len(line) < SHORT else "")
-                    form = _normal(_CAPITALISED.sub("X", line)) if len(line) < SHORT else ""
+                    norms.append(_normal(line))
+                    form = _normal(_CAPITALISED.sub("X", line))
                     forms.append("" if _MASKS.fullmatch(form) else form)
             out = pd.DataFrame(rows, columns=["line_no", "region", "path", "role", "chars"])
             for name in ("_key", "site"):
