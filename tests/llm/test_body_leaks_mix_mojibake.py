@@ -193,3 +193,11 @@ def test_long_furniture_is_known_on_pages_without_markup(spark):
     df = spark.createDataFrame(rows, "k long, u string, html string, content string")
     bodies = {r["k"]: r["body"] for r in B.main_body(df, "k", "u", "html", "content").collect()}
     assert len(notice) >= 160 and all(notice not in x for x in bodies.values()) and all("council" in x for x in bodies.values())
+
+
+def test_lines_after_a_long_unmatched_block_are_laid():
+    block = "".join(f"<p>Text {i} that the dump writes in another way than the markup does." for i in range(200))
+    html = f"<div><p>{SENTENCES[0]}</div><div>{block}</div><ul class='more'><li>Short one<li>{SENTENCES[1]}<li>Last</ul>"
+    dump = [SENTENCES[0], "one line for the whole block", "Short one", SENTENCES[1], "Last"]
+    assert [x[1] >= 0 for x in B.structure(html, "\n".join(dump))] == [True, False, True, True, True]
+    assert {x[2] for x in B.structure(html, "\n".join(dump))[2:]} == {"ul.more"}

@@ -56,6 +56,8 @@ _BYLINE = re.compile(r"^\s*(?:by|von|oleh|par|por|de|text|teks|autor|author|ав
 _ENDS = re.compile(r"[.!?…。][\"”“»')\]]*\s*$")
 #: Share of a page's text from which a container without text of its own is a wrapper.
 WRAPPER = 0.85
+#: Characters from which a line may be looked for in the whole rest of a page, if it occurs there once.
+UNIQUE = 40
 _CAPITALISED = re.compile(r"(?<![\w])[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐÉĘĚĞÍŁŃŇŐŘŚŞŠŤŮŰŹŻŽА-ЯЁ][\w-]*")
 #: A form of which only masks are left says nothing.
 _MASKS = re.compile(r"(?:\bx\b|0|\W)*")
@@ -176,23 +178,39 @@ def structure(markup: str | None, content: str) -> list[tuple[int, int, str, str
     for r in runs:
         starts.append(at)
         at += len(r[4])
-    out, pos = [], 0
+    out, pos, lost = [], 0, []
+
+    def laid(number: int, line: str, here: int, size: int) -> tuple[int, int, str, str, int]:
+        first, last = bisect_right(starts, here) - 1, bisect_right(starts, here + size - 1) - 1
+        ids, names, leaf, _, _ = runs[first]
+        end = _region(ids, names, depth)
+        linked = all(runs[i][3] for i in range(first, last + 1))
+        if leaf == "li" and not linked and not any(x.split(".")[0] in ("ul", "ol") for x in names[end:]):
+            leaf = ""
+        return number, ids[end - 1] if end else 0, "/".join(names[:end]), _role(line, leaf, names[end:], linked), size
+
     for number, line in enumerate(content.split("\n"), 1):
         bare = _SPACE.sub("", line)
         if not bare and not line.strip():
             continue
-        here = -1 if not bare else pos if stream.startswith(bare, pos) else stream.find(bare, pos, pos + 4000 + len(bare)) if pos < len(stream) else -1
+        window = pos + 4000 + len(bare)
+        here = -1 if not bare else pos if stream.startswith(bare, pos) else stream.find(bare, pos, window) if pos < len(stream) else -1
+        if here < 0 and len(bare) >= UNIQUE and window < len(stream):
+            here = stream.find(bare, pos)
+            if here >= 0 and stream.find(bare, here + 1) < 0:  # the lines before it lie before it
+                end = here
+                for at, text, own in reversed(lost):
+                    found = stream.rfind(own, max(pos, end - 4000 - len(own)), end) if own else -1
+                    if found >= 0:
+                        out[at], end = laid(out[at][0], text, found, len(own)), found
+            else:
+                here = -1
         if here < 0:
+            lost.append((len(out), line, bare))
             out.append((number, -1, "", _role(line, "", [], False), len(bare)))
             continue
-        pos = here + len(bare)
-        first, last = bisect_right(starts, here) - 1, bisect_right(starts, pos - 1) - 1
-        ids, names, leaf, _, _ = runs[first]
-        end = _region(ids, names, depth)
-        linked = all(runs[i][3] for i in range(first, last + 1))
-        if leaf == "li" and not linked and not any(x.split(".")[0] in ("ul", "ol") for x in names[end:]):
-            leaf = ""
-        out.append((number, ids[end - 1] if end else 0, "/".join(names[:end]), _role(line, leaf, names[end:], linked), len(bare)))
+        pos, lost = here + len(bare), []
+        out.append(laid(number, line, here, len(bare)))
     for i in range(2, len(out)):  # a sentence between the heading and the link items of a widget is its teaser
         if out[i][3] == "n" and out[i - 1][3] == "p" and out[i - 2][3] in ("w", "f") and out[i][1] == out[i - 1][1] == out[i - 2][1]:
             out[i - 1] = (*out[i - 1][:3], "e", out[i - 1][4])
