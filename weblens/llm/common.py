@@ -23,10 +23,29 @@ def site(url: Column) -> Column:
 _WS = "\\t\\n\\u000b\\f\\r\\u001c-\\u001f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+def _odd_space(line: Column) -> Column:
+    """Whether white space other than single plain spaces occurs; one plain search for each range, as a class of many ranges is tested slowly."""
+    odd = line.contains("  ")
+    for low, high in (("\\t", "\\r"), ("\\x1c", "\\x1f"), ("\\x{2000}", "\\x{200a}"), ("\\x{2028}", "\\x{2029}")):
+        odd = odd | line.rlike(f"[{low}-{high}]")
+    for one in "\x85\xa0\u1680\u202f\u205f\u3000":
+        odd = odd | line.contains(one)
+    return odd
+
+
+def one_spaced(line: Column) -> Column:
+    """White space runs to one space, trimmed."""
+    return F.trim(F.when(_odd_space(line), F.regexp_replace(line, f"[ {_WS}]+", " ")).otherwise(line))
+
+
+def folded(spaced: Column) -> Column:
+    """Lower case, digit runs to one 0."""
+    return F.regexp_replace(F.lower(spaced), "[0-9]+", "0")
+
+
 def normal_line(line: Column) -> Column:
     """Lower case, white space runs to one space, trimmed, digit runs to one 0."""
-    spaced = F.regexp_replace(F.lower(line), f"[ {_WS}]{{2,}}|[{_WS}]", " ")
-    return F.regexp_replace(F.trim(spaced), "[0-9]+", "0")
+    return folded(one_spaced(line))
 
 
 def lines(df: DataFrame, key: str, url: str, content: str) -> DataFrame:
