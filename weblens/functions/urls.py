@@ -25,6 +25,7 @@ TWO_LABEL_SUFFIXES = [
 ]
 SERP_PARAMS = ["q", "query", "search_query", "s", "keyword", "keywords", "k"]
 SERP_SEGMENTS = ["search", "results"]
+PATH_DATES = [r"/(\d{4})/(\d{2})(?:/(\d{2}))?(?=/|$)", r"/(\d{4})-(\d{2})-(\d{2})(?!\d)", r"/(\d{4})(\d{2})(\d{2})(?=/|$)"]
 
 
 def _part(url: Column, number: int) -> Column:
@@ -125,8 +126,7 @@ def url_date(url: Column, max_year: int, min_year: int = 1995) -> Column:
         one = F.get(real, F.lit(0))
         return F.when(one["d"] == "", F.concat_ws("-", one["y"], one["m"])).otherwise(F.concat_ws("-", one["y"], one["m"], F.nullif(one["d"], F.lit(""))))
 
-    options = [first(r"/(\d{4})/(\d{2})(?:/(\d{2}))?(?=/|$)"), first(r"/(\d{4})-(\d{2})-(\d{2})(?!\d)"), first(r"/(\d{4})(\d{2})(\d{2})(?=/|$)")]
-    return F.coalesce(*[F.nullif(o, F.lit("")) for o in options])
+    return F.coalesce(*[F.nullif(first(p), F.lit("")) for p in PATH_DATES])
 
 
 def cache_key(url: Column, options_json: Column) -> Column:

@@ -1,17 +1,32 @@
-"""Documents of other formats as markdown: word processor, slides, sheets, feeds, CSV and JSON."""
+"""Documents of other formats as markdown: word processor, slides, sheets, books, feeds, CSV, JSON and XML.
+
+convert_documents turns a table of bytes into a table of markdown, in Arrow
+batches. Defined results: NULL bodies and unknown kinds, damaged or unsafe
+documents are rows with an error and no content; what is cut by a limit is
+flagged; repeated rows stay; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
 import csv
 import io
 import json
+import posixpath
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from weblens.operators.html import markdown, tree
 
 # Fixed limits that results depend on.
 MAX_ENTRIES, MAX_BYTES, MAX_RATIO, MAX_PART = 10_000, 200 * 2**20, 200, 32 * 2**20
-MAX_ROWS, MAX_COLUMNS, MAX_SHEETS, MAX_ITEMS = 2000, 200, 50, 200
+MAX_ROWS, MAX_COLUMNS, MAX_SHEETS, MAX_ITEMS, MAX_CHAPTERS, MAX_CHARS = 2000, 200, 50, 200, 300, 5_000_000
 
 
 class BadDocument(ValueError):
@@ -82,16 +97,70 @@ def from_docx(data: bytes) -> tuple[str, dict]:
     return "\n\n".join(x for x in out if x.strip()), {}
 
 
+def relations(archive: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """Relation id -> path of the part it points to."""
+    folder, name = posixpath.split(part)
+    path = f"{folder}/_rels/{name}.rels"
+    if path not in archive.namelist():
+        return {}
+    return {r.attrib["Id"]: posixpath.normpath(r.attrib["Target"].lstrip("/") if r.attrib["Target"].startswith("/") else posixpath.join(folder, r.attrib["Target"])) for r in _xml(archive, path) if r.attrib.get("Target") and r.attrib.get("TargetMode") != "External"}
+
+
+def chart_table(root: ET.Element) -> str:
+    """A chart's series beside each other by the number of the point; a value that a series lacks is blank."""
+    heads, points, labels = [], [], {}
+    for series in (e for e in root.iter() if _local(e.tag) == "ser"):
+        parts = {_local(c.tag): c for c in series}
+        heads.append("".join(v.text or "" for v in parts["tx"].iter() if _local(v.tag) == "v") if "tx" in parts else "")
+        read = lambda e: {int(pt.attrib.get("idx", 0)): "".join(v.text or "" for v in pt if _local(v.tag) == "v") for pt in e.iter() if _local(pt.tag) == "pt"} if e is not None else {}
+        labels = {**read(parts.get("cat")), **labels}
+        points.append(read(parts.get("val")))
+    rows = sorted({*labels, *(i for p in points for i in p)})
+    return table([["", *heads], *[[labels.get(i, ""), *[p.get(i, "") for p in points]] for i in rows]]) if heads else ""
+
+
 def from_pptx(data: bytes) -> tuple[str, dict]:
+    """Slides in the order of their numbers: text, picture descriptions and charts; a chart on several slides is printed once and then named."""
     archive = open_zip(data)
     names = sorted((n for n in archive.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"(\d+)\.xml", n)[1]))
-    out = []
-    for i, name in enumerate(names, 1):
-        root = _xml(archive, name)
-        lines = ["".join(t.text or "" for t in p.iter() if _local(t.tag) == "t") for p in root.iter() if _local(p.tag) == "p"]
-        lines += [f"![{e.attrib['descr']}]" for e in root.iter() if _local(e.tag) == "cNvPr" and e.attrib.get("descr")]
-        out.append("\n\n".join([f"## Slide {i}", *[x for x in lines if x.strip()]]))
-    return "\n\n".join(out), {"pages_total": len(names), "pages_returned": len(names)}
+    out, printed, total, kept = [], {}, 0, 0
+    for name in names:
+        number, links = int(re.search(r"(\d+)\.xml", name)[1]), relations(archive, name)
+        lines = [f"## Slide {number}"]
+        for e in _xml(archive, name).iter():
+            kind = _local(e.tag)
+            if kind == "p":
+                lines.append("".join(t.text or "" for t in e.iter() if _local(t.tag) == "t").strip())
+            elif kind == "cNvPr" and e.attrib.get("descr", "").strip():
+                lines.append(f"![{' '.join(e.attrib['descr'].split())}](image)")
+            elif kind == "chart":
+                total += 1
+                path = next((links.get(v) for k, v in e.attrib.items() if _local(k) == "id"), None)
+                if path in printed:
+                    lines.append(f"(same chart as slide {printed[path]})")
+                elif path in archive.NameToInfo:
+                    printed[path] = number
+                    lines.append(chart_table(_xml(archive, path)))
+                kept += path in printed
+        out.append("\n\n".join(x for x in lines if x))
+    return "\n\n".join(out), {"charts_total": total, "charts_returned": kept}
+
+
+def _page(markup: str) -> str:
+    root = tree(markup)
+    return markdown(next((n for n in root.walk() if n.tag == "body"), root))
+
+
+def from_epub(data: bytes) -> tuple[str, dict]:
+    """Chapters of a book in reading order, as the package's spine has them; title and author in the counts."""
+    archive = open_zip(data)
+    package = next(e.attrib["full-path"] for e in _xml(archive, "META-INF/container.xml").iter() if _local(e.tag) == "rootfile")
+    root, folder = _xml(archive, package), posixpath.dirname(package)
+    named = {_local(e.tag): (e.text or "").strip() for e in root.iter() if _local(e.tag) in ("title", "creator")}
+    files = {e.attrib["id"]: posixpath.normpath(posixpath.join(folder, e.attrib["href"])) for e in root.iter() if _local(e.tag) == "item"}
+    chapters = [files[e.attrib["idref"]] for e in root.iter() if _local(e.tag) == "itemref" and e.attrib.get("idref") in files]
+    texts = [_page(archive.read(c).decode("utf-8", "replace")) for c in chapters[:MAX_CHAPTERS] if c in archive.NameToInfo and archive.getinfo(c).file_size <= MAX_PART]
+    return "\n\n".join(x for x in texts if x), {"title": named.get("title"), "author": named.get("creator"), "pages_total": len(chapters), "pages_returned": len(texts)}
 
 
 def column_number(ref: str) -> int:
@@ -105,12 +174,12 @@ def from_xlsx(data: bytes) -> tuple[str, dict]:
     archive = open_zip(data)
     names = archive.namelist()
     shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in _xml(archive, "xl/sharedStrings.xml") if _local(si.tag) == "si"] if "xl/sharedStrings.xml" in names else []
-    targets = {r.attrib["Id"]: r.attrib["Target"] for r in _xml(archive, "xl/_rels/workbook.xml.rels")} if "xl/_rels/workbook.xml.rels" in names else {}
+    targets = relations(archive, "xl/workbook.xml")
     sheets = [s for s in _xml(archive, "xl/workbook.xml").iter() if _local(s.tag) == "sheet"]
     out, total, kept = [], 0, 0
     for i, sheet in enumerate(sheets[:MAX_SHEETS], 1):
         rid = next((v for k, v in sheet.attrib.items() if _local(k) == "id"), "")
-        path = "xl/" + targets.get(rid, f"worksheets/sheet{i}.xml").lstrip("/").removeprefix("xl/")
+        path = targets.get(rid, f"xl/worksheets/sheet{i}.xml")
         if path not in names:
             continue
         grid: list[dict[int, str]] = []
@@ -169,7 +238,7 @@ def from_json(text: str) -> str:
 
 def truncated(meta: dict) -> bool:
     """Whether any total differs from what was returned."""
-    return any(meta.get(f"{k}_total") != meta.get(f"{k}_returned") for k in {x.rpartition("_")[0] for x in meta})
+    return any(meta[k] != meta.get(k.replace("_total", "_returned")) for k in meta if k.endswith("_total"))
 
 
 def convert(kind: str, data: bytes) -> tuple[str, dict]:
@@ -184,4 +253,28 @@ def convert(kind: str, data: bytes) -> tuple[str, dict]:
         return "\n\n".join(lines), {"items_total": len(items), "items_returned": min(len(items), MAX_ITEMS)}
     if kind == "xml":
         return f"```xml\n{data.decode('utf-8', 'replace')}\n```", {}
-    return {"docx": from_docx, "pptx": from_pptx, "xlsx": from_xlsx}[kind](data)
+    if kind not in ("docx", "pptx", "xlsx", "epub"):
+        raise BadDocument("unknown kind")
+    return {"docx": from_docx, "pptx": from_pptx, "xlsx": from_xlsx, "epub": from_epub}[kind](data)
+
+
+def convert_documents(documents: DataFrame, key: str, kind: str, body: str) -> DataFrame:
+    """(key, doc_type, content, truncated, error) of a table of bytes by their kind."""
+    schema = T.StructType([documents.schema[key], *[T.StructField(n, T.StringType()) for n in ("doc_type", "content")], T.StructField("truncated", T.BooleanType()), T.StructField("error", T.StringType())])
+
+    def one(own_kind: str | None, data: bytes | None) -> tuple:
+        if data is None:
+            return own_kind, None, False, "no document"
+        try:
+            text, meta = convert(own_kind, bytes(data))
+        except BadDocument as e:
+            return own_kind, None, False, str(e)
+        except (ET.ParseError, KeyError, StopIteration, ValueError, zipfile.BadZipFile, csv.Error):
+            return own_kind, None, False, "damaged document"
+        return own_kind, text[:MAX_CHARS], truncated(meta) or len(text) > MAX_CHARS, None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(k, *one(own_kind, data)) for k, own_kind, data in zip(b[key], b[kind], b[body])], columns=[f.name for f in schema])
+
+    return documents.select(key, kind, F.col(body)).mapInPandas(run, schema)

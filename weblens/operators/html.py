@@ -264,6 +264,88 @@ def demark(md: str) -> str:
     return "\n".join(out)
 
 
+_LANGUAGE = re.compile(r"(?:^|\s)(?:language|lang|highlight(?:-source)?)-([\w+#.-]+)")
+_WRAPPED = re.compile(r"(?:^|\s)highlight(?:-source)?-([\w+#.-]+)")
+#: Names that say that code has no language.
+PLAIN_CODE = ["default", "none", "text", "plain", "plaintext"]
+
+
+def code_languages(root: Node) -> dict[str, str]:
+    """Text of each preformatted block -> its language, named by a class of its code, its own or one of two wrappers; '' for none."""
+    out: dict[str, str] = {}
+    for pre in root.walk():
+        if pre.tag != "pre":
+            continue
+        near = [n for n in pre.children if isinstance(n, Node) and n.tag == "code"] + [pre]
+        around = [n for n in (pre.parent, pre.parent.parent if pre.parent else None) if n is not None]
+        names = [m[1] for nodes, pattern in ((near, _LANGUAGE), (around, _WRAPPED)) for n in nodes if (m := pattern.search(n.attrs.get("class", "")))]
+        text = "".join(c for n in pre.walk() for c in n.children if isinstance(c, str))
+        out.setdefault(text.strip(), names[0] if names and names[0].lower() not in PLAIN_CODE else "")
+    return out
+
+
+def fix_markdown(md: str, markup: str) -> str:
+    """Markdown with what an extractor lost put back from the page: the language of a fence, the fence of code of one line, the line under the first row of a table."""
+    languages = code_languages(tree(markup)) if "<pre" in markup.lower() else {}
+    lines, out, at = md.split("\n"), [], 0
+    while at < len(lines):
+        line = lines[at]
+        ticks = re.match("`{3,}", line)
+        if ticks:
+            end = next((i for i in range(at + 1, len(lines)) if lines[i] == ticks[0]), len(lines))
+            known = languages.get("\n".join(lines[at + 1 : end]).strip(), "")
+            out += [line + known if line == ticks[0] and end < len(lines) else line, *lines[at + 1 : end + 1]]
+            at = end + 1
+            continue
+        bare = line.strip("`").strip() if len(line) <= 2000 else ""
+        if bare and bare in languages and line in (bare, f"`{bare}`", f"``{bare}``", f"`` {bare} ``"):
+            out += ["```" + languages[bare], bare, "```"]
+        else:
+            out.append(line)
+            first = line.startswith("|") and not (at and lines[at - 1].startswith("|"))
+            if first and not re.match(r"\|(?:\s*:?-+:?\s*\|)+\s*$", lines[at + 1] if at + 1 < len(lines) else ""):
+                out.append("|" + "---|" * (len(re.findall(r"(?<!\\)\|", line)) - 1))
+        at += 1
+    return "\n".join(out)
+
+
+def fixed_markdown(rows: DataFrame, key: str, md: str, markup: str, name: str = "fixed") -> DataFrame:
+    """(key, name) of rows with markdown; a page that is NULL tells nothing."""
+    schema = T.StructType([rows.schema[key], T.StructField(name, T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], name: [fix_markdown(m, h or "") for m, h in zip(b[md], b[markup])]})
+
+    return rows.where(rows[md].isNotNull()).select(key, md, markup).mapInPandas(run, schema)
+
+
+def _title(markup: str) -> str:
+    return next((n.text() for n in tree(markup).walk() if n.tag == "title"), "")
+
+
+#: Extractors under one interface, markup -> text; arms() runs any such set.
+EXTRACTORS = {"article": lambda markup: article(markup)["content"], "text": lambda markup: tree(markup).text(), "title": _title}
+
+
+def arms(pages: DataFrame, key: str, markup: str, extractors: dict | None = None) -> DataFrame:
+    """(key, arm, content, error): every page through every extractor; one that fails is a row with an error."""
+    own = EXTRACTORS if extractors is None else extractors
+    schema = T.StructType([pages.schema[key], *[T.StructField(n, T.StringType()) for n in ("arm", "content", "error")]])
+
+    def one(extractor, text: str) -> tuple:
+        try:
+            return extractor(text), None
+        except Exception as e:  # noqa: BLE001 - an arm's failure is its result
+            return None, type(e).__name__
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(k, name, *one(f, m)) for k, m in zip(b[key], b[markup]) for name, f in own.items()], columns=[f.name for f in schema])
+
+    return pages.where(pages[markup].isNotNull()).select(key, markup).mapInPandas(run, schema)
+
+
 ARTICLE = T.StructType([T.StructField("title", T.StringType()), T.StructField("content", T.StringType()), T.StructField("word_count", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("published", T.StringType()), T.StructField("author", T.StringType())])
 
 

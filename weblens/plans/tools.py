@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblens.functions import urls as U
@@ -12,6 +15,7 @@ from weblens.operators import ranking as R
 from weblens.operators import records as P
 from weblens.operators import routing
 from weblens.operators import vectors as V
+from weblens.sources.tables import fetch_pages
 
 
 def read(pages: DataFrame, key: str = "page_id", markup: str = "html", max_chars: int = 20_000) -> DataFrame:
@@ -60,6 +64,33 @@ def research(hits: DataFrame, queries: DataFrame, sources: DataFrame, max_source
     return joined.withColumn("source_no", F.row_number().over(Window.partitionBy("qid").orderBy("pos"))).where(F.col("source_no") <= max_sources).drop("_u")
 
 
+def research_live(hits: DataFrame, queries: DataFrame, fetch: Callable[[str], tuple[str, int, str]], max_sources: int = 5, least_words: int = 30) -> DataFrame:
+    """research with the pages fetched by the caller's function: found, spread over hosts, fetched in the tasks, read as articles; those too short or failed give way to the next."""
+    spread = research(hits, queries, hits, 3 * max_sources, quick=True)
+    pages = fetch_pages(spread.select("url").where("url <> ''"), fetch).where("error is null and status < 400")
+    read_ = H.articles(pages, "url", "html").where(F.col("word_count") >= least_words).select("url", "content", "word_count")
+    joined = spread.select("qid", "hit_id", "url", "pos").join(read_, "url")
+    return joined.withColumn("source_no", F.row_number().over(Window.partitionBy("qid").orderBy("pos"))).where(F.col("source_no") <= max_sources)
+
+
+def answers(contexts: DataFrame, model: Callable[[str], str] | None = None, context: str = "context") -> DataFrame:
+    """contexts with `answer` and `answer_error`: the caller's model over each context in Arrow batches. No model, or no context, is never asked; a failure keeps the row."""
+    if model is None:
+        return contexts.withColumns({"answer": F.lit(None).cast("string"), "answer_error": F.lit(None).cast("string")})
+
+    @F.pandas_udf("answer string, error string")
+    def ask(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            try:
+                out.append((model(text) if text else None, None))
+            except Exception as e:  # noqa: BLE001 - the sources stay without an answer
+                out.append((None, type(e).__name__))
+        return pd.DataFrame(out, columns=["answer", "error"])
+
+    return contexts.withColumn("_a", ask(F.col(context))).withColumns({"answer": F.col("_a.answer"), "answer_error": F.col("_a.error")}).drop("_a")
+
+
 def map_urls(pages: DataFrame, seed: Column, url: str = "final_url", key: str = "page_id", markup: str = "html", subdomains: bool = True) -> DataFrame:
     """Distinct links of the pages within the seed's registrable domain."""
     links = H.page_links(pages, key, url, markup)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from weblens.functions import text as X
 from weblens.functions import urls as U
 from weblens.operators import mapping as M
+from weblens.operators.html import arms, fixed_markdown
 from weblens.operators.ranking import map_text
 from weblens.plans import tools
 from weblens.queries.pages import _pages
@@ -26,17 +27,14 @@ def _src(spark, d):
 
 
 def looks_blocked(spark, d):
-    return _src(spark, d).select("src_id", M.looks_blocked(F.coalesce("content", F.lit("")), F.col("status")).alias("blocked"))
-
-
-def thread_split(spark, d):
-    e = table(spark, d, "events")
-    return M.thread_split(e, "user_id", "event_id", F.col("event_type") == "purchase").select("event_id", "side")
+    """Sources' text as a page; the marker stands outside scripts or within one."""
+    page = F.concat(F.lit("<html><script>var x='access denied'</script><body>"), F.coalesce("content", F.lit("")), F.when(F.col("src_id") % 6 == 0, "<p class='cf-browser-verification'>").otherwise(""), F.lit("</body></html>"))
+    return _src(spark, d).select("src_id", M.looks_blocked(page, F.col("status")).alias("blocked"))
 
 
 def failover(spark, d):
     h = _hits(spark, d).select("qid", "hit_id", "engine")
-    return M.failover(h.where("engine = 'bing'"), h.where("engine = 'brave'"), "qid").select("qid", "hit_id", "degraded")
+    return M.failover(h.where("engine = 'papers'"), h.where("engine = 'findra'"), "qid").select("qid", "hit_id", "degraded")
 
 
 def redirect_resolve(spark, d):
@@ -45,22 +43,12 @@ def redirect_resolve(spark, d):
     return M.follow_redirects(edges, s.select("url").distinct())
 
 
-def expand_links(spark, d):
-    p = table(spark, d, "post").dropDuplicates(["id"]).where("text is not null")
-    urls = F.array(F.struct(F.lit(" der ").alias("short"), F.lit(" DER ").alias("target")), F.struct(F.lit(" the ").alias("short"), F.lit(" THE ").alias("target")))
-    return p.select("id", M.expand_links(F.col("text"), urls).alias("text"))
-
-
-_ROBOTS = "User-agent: *\nSitemap: https://a.example/s.xml\nsitemap:https://a.example/t.xml\nDisallow: /x"
-_SITEMAP = "<urlset><url><loc> https://a.example/1 </loc></url><url><loc>https://a.example/?a=1&amp;b=2</loc></url></urlset>"
 
 
 def robots_sitemaps(spark, d):
-    return spark.createDataFrame([(_ROBOTS,)], "t string").select(F.explode(M.robots_sitemaps(F.col("t"))).alias("url"))
-
-
-def sitemap_locs(spark, d):
-    return spark.createDataFrame([(_SITEMAP,)], "t string").select(F.explode(M.sitemap_locs(F.col("t"))).alias("url"))
+    """A robots file for each hit, naming its address among rules."""
+    robots = F.concat(F.lit("User-agent: *\nSITEMAP:  "), "url", F.lit(" # main\nDisallow: /x\n  sitemap: https://a.example/t.xml\nNot-sitemap: https://a.example/u.xml"))
+    return _hits(spark, d).where("url is not null").select("hit_id", F.explode(M.robots_sitemaps(robots)).alias("url")).distinct()
 
 
 def site_query(spark, d):
@@ -87,28 +75,16 @@ def pdf_links(spark, d):
 
 
 def select_with_reasons(spark, d):
-    t = table(spark, d, "documents")
-    return t.select("doc_id", F.when(F.col("text").isNull(), "no text").when(F.length("text") < 200, "short").when(F.col("lang").isNull(), "no language").alias("reason"))
-
-
-def unify_papers(spark, d):
-    h = _hits(spark, d).where("title is not null")
-    a = h.where("engine = 'bing'").select(F.col("hit_id").alias("key"), "title", F.col("qid").alias("year"))
-    b = h.where("engine <> 'bing'").select(F.col("hit_id").alias("key"), "title", F.lit(None).cast("bigint").alias("year"))
-    return M.unify_papers(a, b)
-
-
-def paper_filters(spark, d):
-    return unify_papers(spark, d).where("year >= 100").select("key", "year")
-
-
-def map_issue(spark, d):
-    h = _hits(spark, d).where("url is not null")
-    return h.select(F.col("hit_id").alias("id"), F.concat_ws("/", U.host(F.col("url")), F.split_part(U.path(F.col("url")), F.lit("/"), F.lit(2))).alias("repo"), F.array_contains("engines", "bing").alias("is_pull_request"))
+    """Documents behind a comment, without it; the first rule against each."""
+    t = table(spark, d, "documents").withColumn("text", M.without_comment(F.concat(F.lit("<!-- gold\nfile -->\n"), "text")))
+    rules = [("no text", F.col("text").isNull()), ("short", F.length("text") < 200), ("no language", F.col("lang").isNull())]
+    return M.select_with_reasons(t, rules).select("doc_id", "reason", F.length("text").alias("chars"))
 
 
 def watch_content(spark, d):
-    return _src(spark, d).select("src_id", F.sha2(F.coalesce("content", "title", F.lit("")), 256).alias("signature"))
+    """The first of a page's texts, and its signature."""
+    p = table(spark, d, "fetched_pages").select("page_id", "content", "html", "url").distinct()
+    return p.select("page_id", F.sha2(M.content_of(F.when(F.col("page_id") % 3 > 0, F.col("content")), F.col("html"), F.col("url")), 256).alias("signature")).distinct()
 
 
 def same_site_links(spark, d):
@@ -117,13 +93,20 @@ def same_site_links(spark, d):
 
 
 def config_validators(spark, d):
-    c = table(spark, d, "customer")
-    return c.select("c_custkey", F.col("c_name").rlike(r"^Customer#\d{9}$").alias("name_ok"), F.length("c_mktsegment").between(4, 12).alias("segment_ok"))
+    """Settings made of hits: a proxy's address, a list, two cookies, a number."""
+    h = _hits(spark, d)
+    proxy = F.concat(F.when(F.col("hit_id") % 5 == 0, "https://").otherwise("http://"), F.when(F.col("hit_id") % 7 == 0, "u@").otherwise(""), F.lit("proxy"), F.when(F.col("hit_id") % 3 > 0, F.concat(F.lit(":"), (F.col("hit_id") % 70000).cast("string"))).otherwise(""))
+    items = F.concat_ws(" , ", "engine", F.lit(" "), "engine", F.lit("x"))
+    cookie = F.repeat(F.when(F.col("hit_id") % 11 == 0, "a;").otherwise("a_"), (F.col("hit_id") % 20).cast("int"))
+    number = F.when(F.col("hit_id") % 2 == 0, F.concat(F.lit(" "), (F.col("hit_id") % 40).cast("string"))).otherwise("thirty")
+    return h.select("hit_id", M.valid_proxy(proxy).alias("proxy_ok"), M.listed(items).alias("items"), M.valid_cookies(cookie, F.lit("b" * 16)).alias("cookies_ok"), M.setting_int(number, 30).alias("least_words"))
 
 
 def substring_any(spark, d):
-    t = F.coalesce("text", F.lit(""))
-    return table(spark, d, "documents").select("doc_id", (t.contains("price") | t.contains("kurs") | t.contains("цен")).alias("hit"))
+    """Messages that are noise, renders whose process is gone, requests from the machine itself."""
+    t = table(spark, d, "documents")
+    message = F.concat_ws(" ", "text", F.when(F.col("doc_id") % 4 == 0, "Target CLOSED by peer"))
+    return t.select("doc_id", M.contains_any(F.col("text"), ["price", "kurs", "цен"]).alias("hit"), M.browser_dead(F.col("doc_id") % 3 == 0, message).alias("dead"), M.is_loopback(F.concat(F.lit("127.0.0."), (F.col("doc_id") % 3).cast("string"))).alias("own"))
 
 
 def find_similar(spark, d):
@@ -131,9 +114,10 @@ def find_similar(spark, d):
 
 
 def shared_strings(spark, d):
-    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    p = table(spark, d, "part").where("p_size < 25").select("p_partkey", "p_name")
-    return l.join(p, l.l_partkey == p.p_partkey, "left").select("l_orderkey", "l_linenumber", F.coalesce("p_name", F.lit("")).alias("value"))
+    """Cells that hold a number of the string table get its text, other cells a blank."""
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("at"))
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    return l.join(p, l["at"] == p["p_partkey"], "left").select("l_orderkey", "l_linenumber", F.coalesce("p_name", F.lit("")).alias("value"))
 
 
 def sweep_by_category(spark, d):
@@ -178,12 +162,14 @@ def engine_hits(spark, d):
 
 
 def batch_cap(spark, d):
-    h = _hits(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("idx")))
-    return h.groupBy("qid").agg(F.count("*").alias("asked"), F.count_if(F.col("n") <= 5).alias("kept"), (F.count("*") > 5).alias("capped"))
+    return M.batch_capped(_hits(spark, d), "qid", ["idx"], 5)
 
 
 def clamp(spark, d):
-    return table(spark, d, "events").select("event_id", F.greatest(F.lit(1.0), F.least("value", F.lit(60.0))).alias("timeout"))
+    """Timeouts within the ceiling of the tool that is asked; unknown ones have the lowest."""
+    tool = F.element_at(F.array(*[F.lit(t) for t in [*M.TOOL_CEILINGS, "other"]]), (F.col("event_id") % 4 + 1).cast("int"))
+    e = table(spark, d, "events").select("event_id", tool.alias("tool"), F.col("value") * 5 - 20)
+    return e.toDF("event_id", "tool", "asked").select("event_id", M.clamp_timeout(F.col("tool"), F.col("asked")).alias("timeout"))
 
 
 def title_overlap(spark, d):
@@ -193,7 +179,9 @@ def title_overlap(spark, d):
 
 
 def json_depth(spark, d):
-    return table(spark, d, "events").select("event_id", (F.length(F.col("props")) - F.length(F.replace("props", F.lit("{"), F.lit("")))).alias("depth"))
+    """Properties nested in others, with brackets within strings."""
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('[{"a": ['), "props", F.lit('], "s": "}]\\\\"[["}]'))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.col("props"))
+    return table(spark, d, "events").select("event_id", M.json_depth(text).alias("depth"))
 
 
 def parse_judge(spark, d):
@@ -211,11 +199,6 @@ def zip_guard(spark, d):
     return e.select("event_id", M.zip_is_safe(F.col("event_id") * 3, F.col("event_id") * 50000, F.col("user_id") * 2000).alias("safe"))
 
 
-def doc_truncation_flag(spark, d):
-    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("rows_total"))
-    return g.select("l_orderkey", (F.col("rows_total") != F.least("rows_total", F.lit(4))).alias("truncated"))
-
-
 def bundle_sim(spark, d):
     e = table(spark, d, "events").select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("rank"), F.col("value").alias("finish"), (F.col("event_type") != "error").alias("ok"))
     return M.bundle_order(e, "user_id", 5).select("user_id", "event_id", "pos")
@@ -262,51 +245,100 @@ def dom_text(spark, d):
     return map_text(_pages(spark, d), "page_id", "html", lambda h: tree(h).text(), "text", T.StringType())
 
 
-_FUNCTIONS = (scan_pages, looks_blocked, thread_split, failover, redirect_resolve, expand_links, robots_sitemaps, sitemap_locs, site_query, raw_query, route_by_type, is_pdf_url, pdf_links, select_with_reasons, unify_papers, paper_filters, map_issue, watch_content, same_site_links, config_validators, substring_any, find_similar, shared_strings, sweep_by_category, quantile_linear, content_recall, rouge_l, jaccard, ab_rerank, engine_hits, batch_cap, clamp, title_overlap, json_depth, parse_judge, pdf_page_caps, zip_guard, doc_truncation_flag, bundle_sim, read_pages, smart_search_route, batch_read, research_quick, research_deep, map_urls, mask_url, dom_text)
+def news_feed(spark, d):
+    return M.news_items(_hits(spark, d), "_sem_score").select("qid", "idx", "title", "published", "date_source", F.round("score", 6).alias("score"))
+
+
+def token_similarities(spark, d):
+    h = _hits(spark, d)
+    return M.similarities(h, "title", "snippet").select("hit_id", F.round("sim", 6).alias("sim"))
+
+
+def tally_three(spark, d):
+    """Verdicts of three arms over their joined rows: counts of found and mean breadth."""
+    h = _hits(spark, d)
+    arms = h.groupBy("qid").agg(*[F.count_if(F.col("engine") == e).alias(e) for e in ("papers", "findra", "lumo")])
+    return arms.agg(F.count("*").alias("n"), *[F.count_if(F.col(e) > 0).alias(f"{e}_found") for e in ("papers", "findra", "lumo")], *[F.round(F.avg(e), 2).alias(f"{e}_breadth") for e in ("papers", "findra", "lumo")])
+
+
+def boilerplate_rejection(spark, d):
+    """Of four phrases for each source (three of its hit's words, one of its own) the share that its text lacks, and the harmonic mean with the share of its title's words found."""
+    s = _src(spark, d).where("content is not null")
+    own = F.split(F.coalesce("title", F.lit("")), " ")
+    phrases = F.array(F.upper(F.get(own, F.lit(0))), F.get(own, F.lit(1)), F.lit("cookie"), F.lit(""))
+    words = X.tokens(F.col("title"))
+    recall = F.when(F.size(words) > 0, F.size(F.array_intersect(words, X.tokens(F.col("content")))) / F.size(words)).otherwise(1.0)
+    absent = M.absent_share(F.col("content"), phrases)
+    return s.select("src_id", F.round(absent, 6).alias("absent"), F.round(M.harmonic(absent, recall), 6).alias("both"))
+
+
+def registry_roundtrip(spark, d):
+    """Watches written as JSON with a column the registry does not know, and read back."""
+    from weblens.session import shared_path
+    from weblens.sources.sinks import write_json
+    from weblens.sources.tables import watch_registry
+
+    w = _src(spark, d).where("url is not null").select(F.sha2("url", 256).alias("id"), "url", (F.col("src_id") % 7 * 60).alias("interval_s"), F.lit("extra").alias("unknown")).dropDuplicates(["id"])
+    path = shared_path(spark, "registry")
+    write_json(w, path)
+    return watch_registry(spark, path).select("id", "url", F.col("last_check").isNull().alias("never_checked"))
+
+
+def fix_markdown(spark, d):
+    """A text, a fence and a table without what the page tells of them."""
+    t = table(spark, d, "documents").where("source is not null")
+    page = F.concat(F.lit('<div class="highlight-'), F.when(F.col("doc_id") % 3 == 0, "default").otherwise("python"), F.lit('"><div><pre>a = 1\nb = 2</pre></div></div><pre><code class="x lang-sql">SELECT '), "doc_id", F.lit("</code></pre>"))
+    md = F.concat(F.lit("# "), "source", F.lit("\n```\na = 1\nb = 2\n```\n`SELECT "), "doc_id", F.lit("`\n\n| x \\| y | z |\n| 1 | 2 |"))
+    return fixed_markdown(t.select("doc_id", page.alias("html"), md.alias("md")), "doc_id", "md", "html")
+
+
+def extractor_arms(spark, d):
+    return arms(_pages(spark, d), "page_id", "html").select("page_id", "arm", F.length("content").alias("chars"), "error")
+
+
+_FUNCTIONS = (fix_markdown, extractor_arms, news_feed, token_similarities, tally_three, boilerplate_rejection, registry_roundtrip, scan_pages, looks_blocked, failover, redirect_resolve, robots_sitemaps, site_query, raw_query, route_by_type, is_pdf_url, pdf_links, select_with_reasons, watch_content, same_site_links, config_validators, substring_any, find_similar, shared_strings, sweep_by_category, quantile_linear, content_recall, rouge_l, jaccard, ab_rerank, engine_hits, batch_cap, clamp, title_overlap, json_depth, parse_judge, pdf_page_caps, zip_guard, bundle_sim, read_pages, smart_search_route, batch_read, research_quick, research_deep, map_urls, mask_url, dom_text)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 from weblens.queries.ranking import _H, _Q, ORACLES as _R  # noqa: E402
 from weblens.queries.scalars import _F, _SUFFIX  # noqa: E402
 
 _S1 = "s AS (SELECT DISTINCT ON (src_id) * FROM research_sources)"
 _HD = f"WITH {_H} "
-_MARK = " OR ".join(f"contains(lower(coalesce(content, '')), '{m}')" for m in M.BLOCK_MARKERS)
 _JAC = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) END"
 ORACLES = {
+    "fix_markdown": r"SELECT doc_id, '# ' || source || chr(10) || '```' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'python' END || chr(10) || 'a = 1' || chr(10) || 'b = 2' || chr(10) || '```' || chr(10) || '```sql' || chr(10) || 'SELECT ' || doc_id || chr(10) || '```' || chr(10) || chr(10) || '| x \| y | z |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' AS fixed FROM documents WHERE source IS NOT NULL",
+    "news_feed": _HD + "SELECT qid, idx, coalesce(title, '') AS title, nullif(published, '') AS published, CASE WHEN nullif(published, '') IS NOT NULL THEN nullif(date_source, '') END AS date_source, round(CASE WHEN NOT isnan(_sem_score) THEN greatest(-1.0, least(1.0, _sem_score)) END, 6) AS score FROM h",
+    "token_similarities": f"WITH {_H}, k AS (SELECT hit_id, {_TOK.format('title')} AS a, {_TOK.format('snippet')} AS b FROM h) SELECT hit_id, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / sqrt(CAST(len(a) AS DOUBLE) * len(b)) ELSE 0.0 END, 6) AS sim FROM k",
+    "tally_three": _HD + ", g AS (SELECT qid, " + ", ".join(f"count(*) FILTER (WHERE engine = '{e}') AS {e}" for e in ("papers", "findra", "lumo")) + " FROM h GROUP BY qid) SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {e} > 0) AS {e}_found, round(avg({e}), 2) AS {e}_breadth" for e in ("papers", "findra", "lumo")) + " FROM g",
+    "boilerplate_rejection": f"WITH {_S1}, k AS (SELECT src_id, content, list_filter([split_part(coalesce(title, ''), ' ', 1), split_part(coalesce(title, ''), ' ', 2), 'cookie'], lambda x: x <> '') AS p, {_TOK.format('title')} AS w, {_TOK.format('content')} AS c FROM s WHERE content IS NOT NULL), m AS (SELECT src_id, len(list_filter(p, lambda x: NOT contains(lower(content), lower(x)))) / len(p) AS a, CASE WHEN len(w) > 0 THEN len(list_intersect(w, c)) / len(w) ELSE 1.0 END AS r FROM k) SELECT src_id, round(a, 6) AS absent, round(CASE WHEN a + r > 0 THEN 2 * a * r / (a + r) ELSE 0.0 END, 6) AS both FROM m",
+    "registry_roundtrip": "SELECT DISTINCT sha256(url) AS id, url, true AS never_checked FROM research_sources WHERE url IS NOT NULL",
     "scan_pages": "SELECT DISTINCT page_id, status, length(content) AS chars FROM fetched_pages",
-    "looks_blocked": f"WITH {_S1} SELECT src_id, coalesce(status IN (401, 403, 429, 503), false) OR (({_MARK}) AND length(coalesce(content, '')) < 3000) AS blocked FROM s",
-    "thread_split": "SELECT event_id, CASE WHEN event_id < a THEN 'before' WHEN event_id > a THEN 'after' ELSE 'focal' END AS side FROM (SELECT *, min(event_id) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id) AS a FROM events) WHERE a IS NOT NULL",
-    "failover": _HD + "SELECT qid, hit_id, engine = 'brave' AS degraded FROM h WHERE engine = 'bing' OR (engine = 'brave' AND qid NOT IN (SELECT qid FROM h WHERE engine = 'bing'))",
+    "looks_blocked": f"WITH {_S1}, k AS (SELECT src_id, status, coalesce(content, '') AS t, regexp_replace(lower(coalesce(content, '')), '<script.*?(?:</script>|$)', ' ', 'gs') AS m FROM s) SELECT src_id, coalesce(status IN (403, 429, 503), false) OR (length(trim(regexp_replace(regexp_replace('<body>' || t || '</body>', '(?s)<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g'))) < 3000 AND (src_id % 6 = 0 OR regexp_matches(m, 'just a moment|checking your browser|cf-browser-verification|attention required|access denied|enable javascript and cookies|verify you are human|complete the following challenge|performing security verification'))) AS blocked FROM k",
+    "failover": _HD + "SELECT qid, hit_id, engine = 'findra' AS degraded FROM h WHERE engine = 'papers' OR (engine = 'findra' AND qid NOT IN (SELECT qid FROM h WHERE engine = 'papers'))",
     "redirect_resolve": "WITH RECURSIVE e AS (SELECT url AS src, min(final_url) AS dst FROM research_sources WHERE url <> final_url GROUP BY 1), r AS (SELECT DISTINCT url, url AS final, 0 AS hops FROM research_sources WHERE url IS NOT NULL AND final_url IS NOT NULL UNION ALL SELECT r.url, e.dst, hops + 1 FROM r JOIN e ON r.final = e.src WHERE hops < 5) SELECT url, arg_max(final, hops) AS final, max(hops) AS hops FROM r GROUP BY url",
-    "expand_links": "SELECT DISTINCT id, replace(replace(text, ' der ', ' DER '), ' the ', ' THE ') AS text FROM post WHERE text IS NOT NULL",
-    "robots_sitemaps": "SELECT unnest(['https://a.example/s.xml', 'https://a.example/t.xml']) AS url",
-    "sitemap_locs": "SELECT unnest(['https://a.example/1', 'https://a.example/?a=1&b=2']) AS url",
+    "robots_sitemaps": _HD + r"SELECT DISTINCT hit_id, unnest([regexp_extract(url, '^\s*(\S+)', 1), 'https://a.example/t.xml']) AS url FROM h WHERE regexp_matches(url, '\S') UNION ALL SELECT hit_id, unnest(['#', 'https://a.example/t.xml']) FROM h WHERE url IS NOT NULL AND NOT regexp_matches(url, '\S')",
     "site_query": "SELECT item_id, query || ' (site:a.example OR site:b.test)' AS q FROM eval_items WHERE query IS NOT NULL",
     "raw_query": "SELECT item_id, query || ' since:2024-02-01 until:2024-03-01' AS q FROM eval_items WHERE query IS NOT NULL",
     "route_by_type": _HD + f"SELECT hit_id, CASE WHEN ends_with(lower({_P.format(3)}), '.pdf') THEN 'pdf' WHEN ends_with({_P.format(3)}, '.html') THEN 'page' ELSE 'sniff' END AS route FROM h WHERE url IS NOT NULL",
     "is_pdf_url": _HD + f"SELECT ends_with(lower({_P.format(3)}), '.pdf') AS pdf, count(*) AS n FROM h WHERE url IS NOT NULL GROUP BY 1",
     "pdf_links": _HD + f"SELECT qid, hit_id, n FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY idx) AS n FROM h WHERE url IS NOT NULL AND (ends_with(lower({_P.format(3)}), '.pdf') OR contains({_P.format(3)}, '/download/') OR regexp_matches({_P.format(3)}, '^/[a-c]'))) WHERE n <= 2",
-    "select_with_reasons": "SELECT doc_id, CASE WHEN text IS NULL THEN 'no text' WHEN length(text) < 200 THEN 'short' WHEN lang IS NULL THEN 'no language' END AS reason FROM documents",
-    "unify_papers": _HD + "SELECT key, title, year FROM (SELECT hit_id AS key, title, CASE WHEN engine = 'bing' THEN qid END AS year, row_number() OVER (PARTITION BY lower(title) ORDER BY CASE WHEN engine = 'bing' THEN 0 ELSE 1 END, hit_id) AS n FROM h WHERE title IS NOT NULL AND engine IS NOT NULL) WHERE n = 1",
-    "paper_filters": _HD + "SELECT key, year FROM (SELECT hit_id AS key, CASE WHEN engine = 'bing' THEN qid END AS year, row_number() OVER (PARTITION BY lower(title) ORDER BY CASE WHEN engine = 'bing' THEN 0 ELSE 1 END, hit_id) AS n FROM h WHERE title IS NOT NULL AND engine IS NOT NULL) WHERE n = 1 AND year >= 100",
-    "map_issue": _HD + f"SELECT hit_id AS id, {_HOST} || '/' || split_part({_P.format(3)}, '/', 2) AS repo, list_contains(engines, 'bing') AS is_pull_request FROM h WHERE url IS NOT NULL",
-    "watch_content": f"WITH {_S1} SELECT src_id, sha256(coalesce(content, title, '')) AS signature FROM s",
+    "select_with_reasons": "SELECT doc_id, CASE WHEN text IS NULL THEN 'no text' WHEN length(ltrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) < 200 THEN 'short' WHEN lang IS NULL THEN 'no language' END AS reason, length(ltrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS chars FROM documents",
+    "watch_content": "SELECT DISTINCT page_id, sha256(coalesce(CASE WHEN page_id % 3 > 0 THEN content END, html, url, '')) AS signature FROM fetched_pages",
     "same_site_links": f"WITH {_S1} SELECT src_id FROM (SELECT src_id, {_HOST} AS a, {_F} AS b FROM s WHERE url IS NOT NULL AND final_url IS NOT NULL) WHERE {_SUFFIX.format('rtrim(a, $$.$$)')} = {_SUFFIX.format('rtrim(b, $$.$$)')}",
-    "config_validators": r"SELECT c_custkey, regexp_matches(c_name, '^Customer#\d{9}$') AS name_ok, length(c_mktsegment) BETWEEN 4 AND 12 AS segment_ok FROM customer",
-    "substring_any": "SELECT doc_id, contains(coalesce(text, ''), 'price') OR contains(coalesce(text, ''), 'kurs') OR contains(coalesce(text, ''), 'цен') AS hit FROM documents",
+    "config_validators": _HD + "SELECT hit_id, hit_id % 5 <> 0 AND hit_id % 7 <> 0 AND (hit_id % 3 = 0 OR hit_id % 70000 BETWEEN 1 AND 65535) AS proxy_ok, list_filter([engine, 'x'], lambda e: e IS NOT NULL) AS items, hit_id % 11 <> 0 AND hit_id % 20 >= 8 AS cookies_ok, CASE WHEN hit_id % 2 = 0 THEN hit_id % 40 ELSE 30 END AS least_words FROM h",
+    "substring_any": "SELECT doc_id, contains(coalesce(text, ''), 'price') OR contains(coalesce(text, ''), 'kurs') OR contains(coalesce(text, ''), 'цен') AS hit, doc_id % 3 <> 0 AND doc_id % 4 = 0 AS dead, doc_id % 3 = 1 AS own FROM documents",
     "find_similar": "WITH p AS (SELECT b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id = 1) SELECT vec_id, row_number() OVER (ORDER BY sim DESC, vec_id) AS rank, round(sim, 4) AS sim FROM p ORDER BY rank LIMIT 10",
-    "shared_strings": "SELECT l_orderkey, l_linenumber, coalesce(p_name, '') AS value FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 25) ON l_partkey = p_partkey",
+    "shared_strings": "SELECT l_orderkey, l_linenumber, coalesce(p_name, '') AS value FROM lineitem LEFT JOIN part ON CASE WHEN l_linenumber % 2 = 0 THEN -l_partkey ELSE l_partkey END = p_partkey",
     "sweep_by_category": "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1",
     "quantile_linear": "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.25), 4) AS q25, round(quantile_cont(o_totalprice, 0.5), 4) AS q50, round(quantile_cont(o_totalprice, 0.95), 4) AS q95 FROM orders GROUP BY 1",
     "jaccard": f"WITH {_S1}, k AS (SELECT src_id, {_TOK.format('title')} AS a, {_TOK.format('url')} AS b FROM s) SELECT src_id, round({_JAC.format('a', 'b')}, 6) AS jaccard FROM k",
     "engine_hits": _HD + "SELECT engine, count(*) AS n FROM h GROUP BY 1",
     "batch_cap": _HD + "SELECT qid, count(*) AS asked, least(count(*), 5) AS kept, count(*) > 5 AS capped FROM h GROUP BY 1",
-    "clamp": "SELECT event_id, greatest(1.0, least(value, 60.0)) AS timeout FROM events",
+    "clamp": "SELECT event_id, greatest(1.0, least(value * 5 - 20, CASE event_id % 4 WHEN 0 THEN 60.0 WHEN 1 THEN 120.0 WHEN 2 THEN 300.0 ELSE 60.0 END)) AS timeout FROM events",
     "title_overlap": f"WITH {_H}, {_Q}, k AS (SELECT hit_id, {_TOK.format('query')} AS a, {_TOK.format('title')} AS b FROM h JOIN q USING (qid)) SELECT hit_id, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0.0 END, 6) AS overlap FROM k",
-    "json_depth": "SELECT event_id, length(props) - length(replace(props, '{', '')) AS depth FROM events",
+    "json_depth": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 1 END AS depth FROM events WHERE props IS NOT NULL UNION ALL SELECT event_id, NULL FROM events WHERE props IS NULL",
     "parse_judge": "SELECT event_id, 0 AS idx, round(greatest(0.0, least(3.0, round(value, 2))), 2) AS score FROM events UNION ALL SELECT event_id, 1, 0.0 FROM events",
     "pdf_page_caps": "SELECT event_id, least(event_id % 700, 300) AS returned, event_id % 700 > 300 AS truncated, CASE WHEN event_id % 700 >= 20 THEN 'text' ELSE 'layout' END AS path FROM events",
     "zip_guard": "SELECT event_id, event_id * 3 <= 10000 AND event_id * 50000 <= 209715200 AND event_id * 50000 <= user_id * 2000 * 200 AS safe FROM events",
-    "doc_truncation_flag": "SELECT l_orderkey, count(*) > 4 AS truncated FROM lineitem GROUP BY 1",
     "smart_search_route": f"SELECT route, count(*) AS n FROM ({_R['classify_query']}) GROUP BY route",
     "batch_read": _HD + "SELECT n, url, url IN (SELECT url FROM research_sources WHERE content IS NOT NULL AND url IS NOT NULL) AS ok FROM (SELECT url, min(hit_id) AS n FROM h WHERE url IS NOT NULL GROUP BY url ORDER BY n LIMIT 200)",
     "mask_url": f"WITH {_S1} SELECT src_id, lower({_P.format(1)}) || '://' || {_HOST} || '/***' AS webhook FROM s WHERE url IS NOT NULL",

@@ -44,3 +44,16 @@ def search_pipeline(spark, d):
 
 QUERIES = {f.__name__: f for f in (extract_article, page_links, extract_selectors, demark, search_pipeline)}
 ORACLES = {"extract_selectors": "SELECT DISTINCT page_id, nullif(trim(regexp_extract(html, '(?is)<title>([^<]*)', 1)), '') AS title, regexp_extract(html, '(?is)<title>([^<]*)', 1) <> '' AS valid FROM fetched_pages WHERE html IS NOT NULL"}
+
+
+def _search_sql() -> str:
+    """The rerank's SQL over the hits that the domain filter leaves."""
+    from weblens.queries.ranking import ORACLES as ranked
+    from weblens.queries.scalars import _HOST
+
+    host = f"coalesce({_HOST}, '')"
+    kept = f"FROM h0 WHERE qid IS NOT NULL AND NOT ({host} = 'garstonforum.example' OR ends_with({host}, '.garstonforum.example'))"
+    return f"SELECT * FROM ({ranked['rerank_lexical'].replace('FROM h0 WHERE qid IS NOT NULL', kept, 1)}) WHERE rank <= 5"
+
+
+ORACLES["search_pipeline"] = _search_sql()

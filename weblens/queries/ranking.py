@@ -21,9 +21,10 @@ def _hits(spark, d):
 
 
 def _queries(spark, d):
-    items = table(spark, d, "eval_items").select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("n"), "query")  # a fixed table of 160 rows
+    items = table(spark, d, "eval_items")
+    numbered = items.select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("n"), "query")  # the fixed set of held-out items
     qids = table(spark, d, "search_hits").where("qid is not null").select("qid").distinct()
-    return qids.join(F.broadcast(items), F.pmod("qid", F.lit(160)) == F.col("n")).select("qid", "query")
+    return qids.withColumn("n", F.pmod("qid", items.select(F.count("*")).scalar())).join(numbered, "n").select("qid", "query")
 
 
 def rerank_lexical(spark, d):
@@ -198,7 +199,7 @@ ORACLES = {
 
 def _classify_sql() -> str:
     def case(route: str) -> str:
-        parts = [f"CASE WHEN list_contains(t, '{w}') THEN {n} ELSE 0 END" for w, n in (x.split(":") for x in routing.TOKENS[route].split())]
+        parts = [f"CASE WHEN list_contains(t, '{w}') THEN {n} ELSE 0 END" for w, n in routing.TOKENS[route].items()]
         parts += [f"CASE WHEN contains(q, '{phrase}') THEN {n} ELSE 0 END" for phrase, n in routing.PHRASES[route]]
         if route == "news":
             parts += [f"CASE WHEN regexp_matches(q, '{pattern}') THEN {n} ELSE 0 END" for pattern, n in routing.NEWS_PATTERNS]
