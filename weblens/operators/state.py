@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,68 +63,103 @@ def asof_lookup(probes: DataFrame, entries: DataFrame, key: str, at: str, create
     return d.select("_row.*", F.when(fresh, F.col("_last._v")).alias("hit"))
 
 
-def _fold(df: DataFrame, key: str, order: list[str], columns: list[str], step, name: str, kind: T.DataType) -> DataFrame:
-    """One value a row from a state machine over each key's rows in order; the rows of one key are one list."""
-    lists = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))).alias("_rows"))
+def _fold(df: DataFrame, key: str, order: list[str], columns: list[str], start, step, name: str, kind: T.DataType) -> DataFrame:
+    """One value a row from a state machine over each key's rows in order: step(state, row) gives (state, value).
+
+    Rows come sorted in Arrow batches and only the state is carried on, so a key's
+    history need not fit into memory.
+    """
+    names = list(dict.fromkeys([key, *order, *columns]))
+    schema = T.StructType([*[df.schema[n] for n in (key, *order)], T.StructField(name, kind)])
 
-    @F.pandas_udf(T.ArrayType(kind))
-    def run(batches: pd.Series) -> pd.Series:
-        return pd.Series([step(rows) for rows in batches], dtype=object)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, state, met = None, None, False
+        for b in batches:
+            values = []
+            for row in zip(*[b[n].tolist() for n in names]):
+                r = dict(zip(names, row))
+                if not met or r[key] != own:
+                    own, state, met = r[key], start(), True
+                state, value = step(state, r)
+                values.append(value)
+            yield b[[key, *order]].assign(**{name: values})
 
-    zipped = lists.select(key, F.explode(F.arrays_zip(F.col("_rows").alias("r"), run("_rows").alias("v"))).alias("z"))
-    return zipped.select(key, *[F.col(f"z.r.{c}").alias(c) for c in order], F.col("z.v").alias(name))
+    return df.where(F.col(key).isNotNull()).select(*names).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
 def circuit_breaker(calls: DataFrame, key: str, seconds: str, order: str, failed: str, threshold: int = 5, cooldown: float = 60.0) -> DataFrame:
     """`state` met by each call: closed, open (refused; the outcome does not count) or trial (the one call after the cooldown)."""
 
-    def step(rows) -> list[str]:
-        out, failures, opened = [], 0, None
-        for r in rows:
-            now, state = r[seconds], "closed"
-            if opened is not None:
-                if now - opened < cooldown:
-                    out.append("open")
-                    continue
-                opened, state = now, "trial"
-            out.append(state)
-            if r[failed]:
-                failures += 1
-                if failures >= threshold:
-                    opened = now
-            else:
-                failures, opened = 0, None
-        return out
-
-    return _fold(calls, key, [seconds, order], [seconds, order, failed], step, "state", T.StringType())
+    def step(state, r):
+        failures, opened = state
+        now = r[seconds]
+        if opened is not None and now - opened < cooldown:
+            return state, "open"
+        met, opened = ("closed", None) if opened is None else ("trial", now)
+        if not r[failed]:
+            return (0, None), met
+        return (failures + 1, now if failures + 1 >= threshold else opened), met
+
+    return _fold(calls, key, [seconds, order], [failed], lambda: (0, None), step, "state", T.StringType())
 
 
 def engine_bench(reports: DataFrame, key: str, seconds: str, order: str, answered: str, base: float = 120.0, most: float = 3600.0) -> DataFrame:
     """`until`: when a benched engine may be used again: base * 2^strikes, at most `most`; not raised while benched; an answer clears it."""
 
-    def step(rows) -> list[float | None]:
-        out, strikes, until = [], 0, 0.0
-        for r in rows:
-            if r[answered]:
-                strikes, until = 0, 0.0
-            elif until <= r[seconds]:
-                until = r[seconds] + min(base * 2.0**strikes, most)
-                strikes += 1
-            out.append(float(until))
-        return out
+    def step(state, r):
+        strikes, until = state
+        if r[answered]:
+            return (0, 0.0), 0.0
+        if until > r[seconds]:
+            return state, float(until)
+        until = float(r[seconds] + min(base * 2.0**strikes, most))
+        return (strikes + 1, until), until
 
-    return _fold(reports, key, [seconds, order], [seconds, order, answered], step, "until", T.DoubleType())
+    return _fold(reports, key, [seconds, order], [answered], lambda: (0, 0.0), step, "until", T.DoubleType())
 
 
 def paragraphs(cues: DataFrame, key: str, seconds: str, order: str, span: float = 30.0) -> DataFrame:
     """`start`: anchored grouping; a paragraph begins with the first cue at least `span` after the last paragraph's first cue."""
 
-    def step(rows) -> list[float]:
-        out, anchor = [], None
-        for r in rows:
-            if anchor is None or r[seconds] - anchor >= span:
-                anchor = r[seconds]
-            out.append(float(anchor))
-        return out
+    def step(anchor, r):
+        anchor = r[seconds] if anchor is None or r[seconds] - anchor >= span else anchor
+        return anchor, float(anchor)
+
+    return _fold(cues, key, [seconds, order], [], lambda: None, step, "start", T.DoubleType())
+
 
-    return _fold(cues, key, [seconds, order], [seconds, order], step, "start", T.DoubleType())
+def poll_due(checks: DataFrame, key: str, seconds: str, order: str, interval: float) -> DataFrame:
+    """`due`: a watch never checked, or last checked at least `interval` seconds before; a due check always moves that time on."""
+
+    def step(last, r):
+        due = last is None or r[seconds] - last >= interval
+        return (r[seconds] if due else last), due
+
+    return _fold(checks, key, [seconds, order], [], lambda: None, step, "due", T.BooleanType())
+
+
+def running_totals(rows: DataFrame, key: str, bucket: Column, order: list[str], value: str) -> DataFrame:
+    """rows with `n` and `total`, count and sum of the key's rows up to this one.
+
+    Rows are summed within buckets of the order (bucket must grow with it), and
+    the buckets' sums before are added, so no task gets all rows of a hot key.
+    """
+    d = rows.withColumn("_bucket", bucket)
+    sums = d.groupBy(F.col(key).alias("_k"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"), F.sum(value).alias("_sum"))
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_k", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.sum("_sum").over(before).alias("_s0"))
+    own = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({"_n1": F.count("*").over(own), "_s1": F.sum(value).over(own)})
+    d = d.join(sums, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b")))
+    total = F.when(F.col("_s0").isNull(), F.col("_s1")).otherwise(F.col("_s0") + F.coalesce("_s1", F.lit(0.0)))
+    return d.withColumns({"n": F.col("_n0") + F.col("_n1"), "total": total}).drop("_bucket", "_k", "_b", "_n0", "_s0", "_n1", "_s1")
+
+
+def previous(rows: DataFrame, key: str, seconds: str, span: int) -> DataFrame:
+    """rows (key, whole seconds; distinct) with `previous`, the time before in the key's order: within spans of so many seconds, and for the first of a span the last time of the span before; no task gets all rows of a hot key."""
+    d = rows.withColumn("_span", F.floor(F.col(seconds) / span))
+    lasts = d.groupBy(F.col(key).alias("_k"), F.col("_span").alias("_p")).agg(F.max(seconds).alias("_last"))
+    lasts = lasts.withColumn("_last", F.lag("_last").over(Window.partitionBy("_k").orderBy("_p")))
+    d = d.withColumn("_own", F.lag(seconds).over(Window.partitionBy(key, "_span").orderBy(seconds)))
+    d = d.join(lasts, (F.col(key) == F.col("_k")) & (F.col("_span") == F.col("_p")))
+    return d.withColumn("previous", F.coalesce("_own", "_last")).drop("_span", "_k", "_p", "_last", "_own")

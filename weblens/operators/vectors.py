@@ -23,19 +23,21 @@ def top_k(vectors: DataFrame, seeds: DataFrame, k: int, key: str = "vec_id", col
 
     def search(batches: Iterator[pd.DataFrame], sent) -> Iterator[pd.DataFrame]:
         keys, units = sent.value
+        own = np.asarray(keys)
+        best_s, best_id = np.full((len(keys), 0), -2.0), np.zeros((len(keys), 0), own.dtype)
         for batch in batches:
             if not len(batch):
                 continue
             m = np.stack([np.asarray(v, np.float64) for v in batch[column]])
             norm = np.linalg.norm(m, axis=1, keepdims=True)
-            sims = units @ np.divide(m, norm, out=np.zeros_like(m), where=norm > 0).T
+            sims = np.round(units @ np.divide(m, norm, out=np.zeros_like(m), where=norm > 0).T, 9)
             ids = batch[key].to_numpy()
-            rows = []
-            for i, own in enumerate(keys):
-                s = np.where(ids == own, -2.0, np.round(sims[i], 9))
-                best = np.lexsort((ids, -s))[:k]
-                rows += [(own, ids[j], float(s[j])) for j in best if s[j] > -2]
-            yield pd.DataFrame(rows, columns=["seed", key, "sim"])
+            sims[own[:, None] == ids[None, :]] = -2.0
+            all_s, all_id = np.hstack([best_s, sims]), np.hstack([best_id, np.broadcast_to(ids, sims.shape)])
+            order = np.lexsort((all_id, -all_s), axis=1)[:, :k]  # ties to the smaller key
+            best_s, best_id = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_id, order, 1)
+        real = best_s > -2
+        yield pd.DataFrame({"seed": np.repeat(own, real.sum(axis=1)), key: best_id[real], "sim": best_s[real]})
 
     def run(rows: list) -> DataFrame:
         m = np.stack([np.asarray(r[column], np.float64) for r in rows])

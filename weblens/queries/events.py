@@ -83,8 +83,22 @@ def bounded_labels(spark, d):
 
 
 def cumulative_metrics(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.count("*").over(w).alias("n"), F.round(F.sum("value").over(w), 4).alias("total"))
+    e = table(spark, d, "events")
+    return S.running_totals(e, "event_type", F.date_trunc("day", "ts"), ["ts", "event_id"], "value").select("event_id", "n", F.round("total", 4).alias("total"))
+
+
+def watch_poll(spark, d):
+    """Which of a user's events, taken as polls, are due after a day."""
+    return S.poll_due(_events(spark, d), "user_id", "s", "event_id", 86400.0).select("event_id", "due")
+
+
+def watch_poll_stream(spark, d):
+    """The same as a stream over the event files."""
+    from weblens.streaming import events as E
+
+    schema = table(spark, d, "events").schema
+    stream = E.read(spark, f"{d}/events.parquet*", schema)
+    return E.run_once(E.poll_due(stream, 86400.0), "polls").select("event_id", "due")
 
 
 def latency_percentiles(spark, d):
@@ -168,7 +182,7 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
 
 
-_FUNCTIONS = (scan_events, watch_changes, throttle_slots, failure_runs, two_strikes, rate_window, asof_cache, negative_cache, cache_purge, circuit_breaker, engine_bench, transcript_paragraphs, stage_counts, bounded_labels, cumulative_metrics, latency_percentiles, metrics_exposition, sweep_aggregate, cell_aggregate, flag_findings, burst_summary, tool_surface, ab_tally, worst_n, tumbling_counts, sliding_counts, session_counts, batch_deadline, date_range_filter, json_props)
+_FUNCTIONS = (scan_events, watch_changes, throttle_slots, failure_runs, two_strikes, rate_window, asof_cache, negative_cache, cache_purge, circuit_breaker, engine_bench, transcript_paragraphs, stage_counts, bounded_labels, cumulative_metrics, watch_poll, watch_poll_stream, latency_percentiles, metrics_exposition, sweep_aggregate, cell_aggregate, flag_findings, burst_summary, tool_surface, ab_tally, worst_n, tumbling_counts, sliding_counts, session_counts, batch_deadline, date_range_filter, json_props)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 _E = "e AS (SELECT *, epoch_us(ts) / 1e6 AS s, CAST(floor(epoch_us(ts) / 1e6) AS BIGINT) AS sec FROM events)"
 ORACLES = {
@@ -184,6 +198,8 @@ ORACLES = {
     "transcript_paragraphs": f"WITH RECURSIVE {_E}, n AS (SELECT event_id, user_id, s, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS n FROM e), r AS (SELECT event_id, user_id, n, s AS a FROM n WHERE n = 1 UNION ALL SELECT n.event_id, n.user_id, n.n, CASE WHEN n.s - r.a >= 86400.0 THEN n.s ELSE r.a END FROM r JOIN n ON n.user_id = r.user_id AND n.n = r.n + 1) SELECT event_id, round(a, 3) AS start FROM r",
     "engine_bench": f"WITH RECURSIVE {_E}, n AS (SELECT event_id, user_id, s, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS n FROM e), z AS (SELECT DISTINCT user_id FROM e), r AS (SELECT CAST(NULL AS BIGINT) AS event_id, user_id, CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS until, 0 AS k FROM z UNION ALL SELECT n.event_id, n.user_id, n.n, CASE WHEN ok THEN 0.0 WHEN r.until <= n.s THEN n.s + least(120.0 * pow(2.0, k), 3600.0) ELSE r.until END, CASE WHEN ok THEN 0 WHEN r.until <= n.s THEN k + 1 ELSE k END FROM r JOIN n ON n.user_id = r.user_id AND n.n = r.n + 1) SELECT event_id, round(until, 3) AS until FROM r WHERE n > 0",
     "circuit_breaker": f"WITH RECURSIVE {_E}, n AS (SELECT event_id, user_id, s, event_type IN ('error', 'click') AS f, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS n FROM e), z AS (SELECT DISTINCT user_id FROM e), r AS (SELECT CAST(NULL AS BIGINT) AS event_id, user_id, CAST(0 AS BIGINT) AS n, 0 AS fails, CAST(NULL AS DOUBLE) AS opened, 'closed' AS state FROM z UNION ALL SELECT n.event_id, n.user_id, n.n, CASE WHEN opened IS NOT NULL AND n.s - opened < 7200 THEN fails WHEN f THEN fails + 1 ELSE 0 END, CASE WHEN opened IS NOT NULL AND n.s - opened < 7200 THEN opened WHEN f AND fails + 1 >= 3 THEN n.s WHEN f AND opened IS NOT NULL THEN n.s WHEN f THEN opened ELSE NULL END, CASE WHEN opened IS NULL THEN 'closed' WHEN n.s - opened < 7200 THEN 'open' ELSE 'trial' END FROM r JOIN n ON n.user_id = r.user_id AND n.n = r.n + 1) SELECT event_id, state FROM r WHERE n > 0",
+    "watch_poll": f"WITH RECURSIVE {_E}, n AS (SELECT event_id, user_id, s, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS n FROM e), r AS (SELECT event_id, user_id, n, s AS a, true AS due FROM n WHERE n = 1 UNION ALL SELECT n.event_id, n.user_id, n.n, CASE WHEN n.s - r.a >= 86400.0 THEN n.s ELSE r.a END, n.s - r.a >= 86400.0 FROM r JOIN n ON n.user_id = r.user_id AND n.n = r.n + 1) SELECT event_id, due FROM r",
+    "watch_poll_stream": f"WITH RECURSIVE {_E}, n AS (SELECT event_id, user_id, s, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS n FROM e), r AS (SELECT event_id, user_id, n, s AS a, true AS due FROM n WHERE n = 1 UNION ALL SELECT n.event_id, n.user_id, n.n, CASE WHEN n.s - r.a >= 86400.0 THEN n.s ELSE r.a END, n.s - r.a >= 86400.0 FROM r JOIN n ON n.user_id = r.user_id AND n.n = r.n + 1) SELECT event_id, due FROM r",
     "stage_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "bounded_labels": "SELECT CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'unknown' END AS label, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1",
     "cumulative_metrics": "SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 4) AS total FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",

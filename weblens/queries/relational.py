@@ -9,6 +9,7 @@ from weblens.functions import text as X
 from weblens.functions import urls as U
 from weblens.operators import ranking as R
 from weblens.operators import records as P
+from weblens.operators import state as S
 from weblens.operators import vectors as V
 from weblens.queries.scalars import _HOST, _TOK
 from weblens.session import table
@@ -44,7 +45,9 @@ def three_way_join(spark, d):
 
 
 def completeness_check(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an urgent order."""
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 def condition_aggregate(spark, d):
@@ -84,16 +87,10 @@ def truncation(spark, d):
     return h.select("hit_id", F.round(F.when(n(F.col("snippet")) == 0, 1.0).otherwise(F.least(F.lit(1.0), n(F.col("title")) / n(F.col("snippet")))), 6).alias("complete"))
 
 
-def boilerplate_rejection(spark, d):
-    p = table(spark, d, "fetched_pages").where("content is not null").dropDuplicates(["page_id"])
-    bad = ["accept all", "terms of service", "most read"]
-    return p.select("page_id", F.round(sum(((~F.lower("content").contains(b)).cast("int") for b in bad), F.lit(0)) / len(bad), 6).alias("absent"))
-
-
 def top_sentences(spark, d):
     """Per source the three sentences that share most words with its title."""
     s = table(spark, d, "research_sources").dropDuplicates(["src_id"]).where("content is not null and title is not null")
-    e = s.select("src_id", X.tokens(F.col("title")).alias("q"), F.posexplode(F.slice(X.sentences(F.col("content")), 1, 200)).alias("pos", "sentence"))
+    e = s.select("src_id", X.tokens(F.col("title")).alias("q"), F.posexplode(X.sentences(F.col("content"))).alias("pos", "sentence"))
     e = e.withColumn("score", F.size(F.array_intersect("q", X.tokens(F.col("sentence")))))
     w = Window.partitionBy("src_id").orderBy(F.desc("score"), "pos")
     return e.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("src_id", "pos", "score", "rank")
@@ -132,8 +129,10 @@ def outcome_odds(spark, d):
 
 
 def error_classify(spark, d):
+    """Reads that failed by status, by a wall, by the clock or for a reason unknown."""
     s = table(spark, d, "research_sources").dropDuplicates(["src_id"])
-    return s.select("src_id", P.error_record(F.col("status"), F.col("render_path")).alias("e")).select("src_id", "e.*")
+    reason = F.when(F.col("src_id") % 5 == 0, "blocked_by_antibot").when(F.col("src_id") % 5 == 1, "timeout").when(F.col("src_id") % 5 == 2, F.col("render_path"))
+    return s.select("src_id", P.error_record(F.when(F.col("src_id") % 2 == 0, F.col("status")), reason).alias("e")).select("src_id", "e.*")
 
 
 def status_to_code(spark, d):
@@ -146,11 +145,6 @@ def reach_ok(spark, d):
     return s.groupBy(U.host(F.col("final_url")).alias("host")).agg(F.count("*").alias("n"), F.count_if(F.col("status") < 400).alias("ok"))
 
 
-def post_mapper(spark, d):
-    p = table(spark, d, "post").dropDuplicates(["id"])
-    return p.select("id", F.col("author.handle").alias("handle"), F.col("metrics.likes").alias("likes"), F.coalesce("metrics.views", F.lit(0)).alias("views"), F.length("text").alias("chars"))
-
-
 def snowflake_window(spark, d):
     p = table(spark, d, "post").select("id").distinct().withColumn("ms", P.snowflake_ms(F.col("id")))
     return p.where(F.col("ms").isNull() | F.col("ms").between(1717900000000, 1718000000000))
@@ -172,8 +166,12 @@ def block_on_any(spark, d):
 
 
 def sniff_kind(spark, d):
-    p = table(spark, d, "fetched_pages").dropDuplicates(["page_id"])
-    return p.select("page_id", P.sniff_kind(F.col("content_type"), F.upper(F.hex(F.substring("html", 1, 16))), F.regexp_extract(U.path(F.coalesce("final_url", F.lit(""))), r"\.([a-z0-9]+)$", 1)).alias("kind"))
+    """Documents with a content type, first bytes or an extension that says what they are."""
+    pick = lambda values, n: F.get(F.array(*[F.lit(v).cast("string") for v in values]), (F.col("doc_id") % n).cast("int"))
+    ctype = pick(["application/pdf", "TEXT/CSV; charset=x", "application/vnd.api+json", "application/rss+xml", None, "application/octet-stream", None, None], 8)
+    head = pick(["", "", "", "", "504B030414", "20255044462D31", "89504E470D0A1A0A", "6162"], 8)
+    t = table(spark, d, "documents")
+    return t.select("doc_id", P.sniff_kind(ctype, head, pick(["pdf", "rss", "tsv", "txt", "docx"], 5)).alias("kind"))
 
 
 def xlsx_col(spark, d):
@@ -196,8 +194,8 @@ def markdown_table(spark, d):
 
 
 def csv_caps(spark, d):
-    l = table(spark, d, "lineitem").withColumn("_n", F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber")))
-    return l.groupBy("l_returnflag").agg(F.count("*").alias("rows_total"), F.count_if(F.col("_n") <= 2000).alias("rows_returned"), (F.count("*") > 2000).alias("truncated"))
+    g = table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("rows_total"))
+    return g.select("l_returnflag", "rows_total", F.least("rows_total", F.lit(2000)).alias("rows_returned"), (F.col("rows_total") > 2000).alias("truncated"))
 
 
 def comment_tree(spark, d):
@@ -230,7 +228,7 @@ def archive_latest(spark, d):
 
 
 def first_nonempty_backend(spark, d):
-    s = table(spark, d, "search_hits").where("qid is not null").withColumn("b", F.when(F.col("engine") == "bing", 0).when(F.col("engine") == "brave", 1).otherwise(2)).select("qid", "hit_id", "b").distinct()
+    s = table(spark, d, "search_hits").where("qid is not null").withColumn("b", F.when(F.col("engine") == "papers", 0).when(F.col("engine") == "findra", 1).otherwise(2)).select("qid", "hit_id", "b").distinct()
     return s.withColumn("_m", F.min("b").over(Window.partitionBy("qid"))).where("b = _m").select("qid", "hit_id")
 
 
@@ -254,8 +252,8 @@ def paged_scan_stop(spark, d):
 def calendar_stale(spark, d):
     """Each calendar delivery with the age in seconds of its country's one before."""
     f = table(spark, d, "ff_calendar_sample").where("country is not null and ingested_at is not null").select("country", F.unix_seconds(F.col("ingested_at").cast("timestamp")).alias("s")).distinct()
-    age = F.col("s") - F.lag("s").over(Window.partitionBy("country").orderBy("s"))
-    return f.withColumn("age", age).select("country", "s", (F.col("age") <= 21600).alias("usable"))
+    aged = S.previous(f, "country", "s", 86400)
+    return aged.select("country", "s", (F.col("s") - F.col("previous") <= 21600).alias("usable"))
 
 
 def answer_context(spark, d):
@@ -265,7 +263,7 @@ def answer_context(spark, d):
     return s.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", part.alias("p")))), lambda x: x["p"]), "\n").alias("context"))
 
 
-_FUNCTIONS = (vector_topk, cosine_pairs, pairwise_auc, chart_pivot, three_way_join, completeness_check, condition_aggregate, revenue_by_region, median_skip_null, floor_calibration, token_f1, truncation, boilerplate_rejection, top_sentences, scholar_rerank, inverted_index_text, ff_calendar, cot_parse, cot_drift, outcome_odds, error_classify, status_to_code, reach_ok, post_mapper, snowflake_window, x_target, blocked_ip, block_on_any, sniff_kind, xlsx_col, parse_pages, lenient_int, markdown_table, csv_caps, comment_tree, crawl_bfs, fetch_ladder, archive_latest, first_nonempty_backend, watch_upsert, unwatch, paged_scan_stop, calendar_stale, answer_context)
+_FUNCTIONS = (vector_topk, cosine_pairs, pairwise_auc, chart_pivot, three_way_join, completeness_check, condition_aggregate, revenue_by_region, median_skip_null, floor_calibration, token_f1, truncation, top_sentences, scholar_rerank, inverted_index_text, ff_calendar, cot_parse, cot_drift, outcome_odds, error_classify, status_to_code, reach_ok, snowflake_window, x_target, blocked_ip, block_on_any, sniff_kind, xlsx_col, parse_pages, lenient_int, markdown_table, csv_caps, comment_tree, crawl_bfs, fetch_ladder, archive_latest, first_nonempty_backend, watch_upsert, unwatch, paged_scan_stop, calendar_stale, answer_context)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 _U = "h AS (SELECT DISTINCT ON (hit_id) * FROM search_hits)"
 _SRC = "s AS (SELECT DISTINCT ON (src_id) * FROM research_sources)"
@@ -285,20 +283,20 @@ def _nets() -> str:
 
 
 ORACLES = {
+    "sniff_kind": "SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'pdf' WHEN 1 THEN 'csv' WHEN 2 THEN 'json' WHEN 3 THEN 'feed' WHEN 4 THEN 'zip' WHEN 5 THEN 'pdf' WHEN 6 THEN 'image' ELSE CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'feed' WHEN 2 THEN 'csv' WHEN 4 THEN 'docx' END END AS kind FROM documents",
     "vector_topk": "WITH p AS (SELECT a.vec_id AS seed, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY sim DESC, vec_id) AS rank FROM p) SELECT seed, vec_id, rank, round(sim, 6) AS sim FROM r WHERE rank <= 10",
     "cosine_pairs": "WITH u AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x::DOUBLE) AS m FROM u GROUP BY label, i), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY label) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c), 4) AS sim FROM embeddings JOIN c USING (label)",
     "pairwise_auc": f"WITH {_U}, k AS (SELECT qid, _sem_score AS s, published IS NOT NULL AS r FROM h WHERE qid IS NOT NULL AND _sem_score IS NOT NULL AND NOT isnan(_sem_score)), p AS (SELECT a.qid, avg(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END) AS auc FROM k a JOIN k b ON a.qid = b.qid AND a.r AND NOT b.r GROUP BY a.qid) SELECT q.qid, round(auc, 6) AS auc FROM (SELECT DISTINCT qid FROM k) q LEFT JOIN p USING (qid)",
     "chart_pivot": "SELECT l_returnflag, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 2) AS f, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 2) AS o FROM lineitem GROUP BY 1",
     "three_way_join": "SELECT coalesce(n_name, 'none') AS nation, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
-    "completeness_check": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "completeness_check": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
     "condition_aggregate": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median, round(quantile_cont(l_discount, 0.9), 6) AS p90, count(*) AS n FROM lineitem GROUP BY 1, 2",
     "revenue_by_region": "SELECT r_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
     "median_skip_null": f"WITH {_SRC} SELECT status, median(word_count) AS median, count(word_count) AS known FROM s GROUP BY status",
     "floor_calibration": "SELECT lang, CAST(floor(quantile_cont(n_chars, 0.05) / 20) * 20 AS BIGINT) AS low, CAST(floor(quantile_cont(n_chars, 0.95) / 20) * 20 AS BIGINT) AS high FROM documents WHERE lang IS NOT NULL GROUP BY lang",
     "token_f1": f"WITH {_U}, k AS (SELECT hit_id, {_WS.format('lower(title)')} AS p, {_WS.format('lower(snippet)')} AS g FROM h WHERE title IS NOT NULL AND snippet IS NOT NULL), a AS (SELECT hit_id, w, count(*) AS a FROM (SELECT hit_id, unnest(p) AS w FROM k) GROUP BY ALL), b AS (SELECT hit_id, w, count(*) AS b FROM (SELECT hit_id, unnest(g) AS w FROM k) GROUP BY ALL), o AS (SELECT hit_id, sum(least(a, b)) AS n FROM a JOIN b USING (hit_id, w) GROUP BY 1) SELECT hit_id, round(coalesce(2 * n / (len(p) + len(g)), 0.0), 6) AS f1 FROM k LEFT JOIN o USING (hit_id)",
     "truncation": f"WITH {_U} SELECT hit_id, round(CASE WHEN len({_WS.format('snippet')}) = 0 THEN 1.0 ELSE least(1.0, len({_WS.format('title')}) / len({_WS.format('snippet')})) END, 6) AS complete FROM h WHERE title IS NOT NULL AND snippet IS NOT NULL",
-    "boilerplate_rejection": "SELECT DISTINCT page_id, round((CASE WHEN contains(lower(content), 'accept all') THEN 0 ELSE 1 END + CASE WHEN contains(lower(content), 'terms of service') THEN 0 ELSE 1 END + CASE WHEN contains(lower(content), 'most read') THEN 0 ELSE 1 END) / 3, 6) AS absent FROM fetched_pages WHERE content IS NOT NULL",
-    "top_sentences": rf"""WITH {_SRC}, p AS (SELECT src_id, {_TOK.format('title')} AS q, list_slice(list_filter(list_transform(regexp_split_to_array(regexp_replace(content, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: len(list_filter(regexp_split_to_array(x, '[ \t\n\r\f\v]+'), lambda w: w <> '')) >= 4), 1, 200) AS u FROM s WHERE content IS NOT NULL AND title IS NOT NULL),
+    "top_sentences": rf"""WITH {_SRC}, p AS (SELECT src_id, {_TOK.format('title')} AS q, list_filter(list_transform(regexp_split_to_array(regexp_replace(content, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: len(list_filter(regexp_split_to_array(x, '[ \t\n\r\f\v]+'), lambda w: w <> '')) >= 4) AS u FROM s WHERE content IS NOT NULL AND title IS NOT NULL),
       e AS (SELECT src_id, q, CAST(generate_subscripts(u, 1) - 1 AS INT) AS pos, unnest(u) AS sentence FROM p), c AS (SELECT src_id, pos, len(list_intersect(q, {_TOK.format('sentence')})) AS score FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY score DESC, pos) AS rank FROM c) SELECT src_id, pos, score, rank FROM r WHERE rank <= 3""",
     "scholar_rerank": f"WITH {_U}, k AS (SELECT qid, hit_id, {_TOK.format('title')} AS t, list_value('price', 'report', 'market', 'crop', 'estimate') AS q, coalesce(length(snippet), -1) AS c FROM h WHERE qid IS NOT NULL AND title IS NOT NULL), r AS (SELECT *, len(list_intersect(q, t)) / 5 + CASE WHEN len(t) > 0 THEN len(list_intersect(q, t)) / len(t) ELSE 0.0 END * log10(1 + greatest(c, 0)) * 0.1 AS s FROM k) SELECT qid, hit_id, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, c DESC, hit_id) AS rank FROM r",
     "inverted_index_text": "SELECT item_id, passage AS text FROM eval_items WHERE passage IS NOT NULL",
@@ -306,7 +304,7 @@ ORACLES = {
     "cot_parse": "SELECT 'M' || o_orderkey AS market, strftime(o_orderdate, '%Y-%m-%d') AS report_date, o_custkey AS open_interest, o_orderkey AS noncommercial_long, CAST(NULL AS BIGINT) AS noncommercial_short, CAST(7 AS BIGINT) AS noncommercial_spreads, CAST(8 AS BIGINT) AS commercial_long, CAST(9 AS BIGINT) AS commercial_short, CAST(10 AS BIGINT) AS nonreportable_long, CAST(11 AS BIGINT) AS nonreportable_short FROM orders",
     "cot_drift": "SELECT count(*) FILTER (WHERE o_custkey <> o_orderkey + 7 + 8 + 10) AS identity_failures, 0 AS bad_dates FROM orders",
     "outcome_odds": "WITH m AS (SELECT DISTINCT slug FROM market_event), v AS (SELECT DISTINCT ON (slug) * FROM market_event) SELECT 'Yes' AS outcome, count(*) AS n, count(CASE WHEN NOT isnan(liquidity / volume) AND NOT isinf(liquidity / volume) THEN 1 END) AS priced FROM v UNION ALL SELECT 'No', count(*), count(*) FROM m",
-    "error_classify": f"WITH {_SRC} SELECT src_id, CASE WHEN render_path = 'blocked_by_antibot' THEN 'blocked_by_antibot' ELSE 'fetch_failed' END AS code, coalesce('http_' || status, render_path, 'fetch_failed') AS reason, coalesce(status, 0) >= 500 OR coalesce(status, 0) = 429 AS retryable FROM s",
+    "error_classify": f"WITH {_SRC}, k AS (SELECT src_id, CASE WHEN src_id % 2 = 0 THEN status END AS st, CASE src_id % 5 WHEN 0 THEN 'blocked_by_antibot' WHEN 1 THEN 'timeout' WHEN 2 THEN render_path END AS r FROM s) SELECT src_id, CASE WHEN r = 'blocked_by_antibot' THEN 'blocked_by_antibot' ELSE 'fetch_failed' END AS code, coalesce('http_' || st, r, 'fetch_failed') AS reason, coalesce(st, 0) >= 500 OR coalesce(st, 0) = 429 OR (st IS NULL AND coalesce(r, '') IN ('timeout', 'transport', 'circuit_open')) AS retryable FROM k",
     "status_to_code": "SELECT DISTINCT status, CASE WHEN status = 429 THEN 'x_rate_limited' WHEN status IN (401, 301, 302) THEN 'x_account_expired' WHEN status = 403 THEN 'x_account_rejected' ELSE 'x_backend_error' END AS code FROM research_sources WHERE status IS NOT NULL",
     "reach_ok": f"WITH {_SRC} SELECT {_HOST.replace('url', 'final_url')} AS host, count(*) AS n, count(*) FILTER (WHERE status < 400) AS ok FROM s WHERE final_url IS NOT NULL GROUP BY 1",
     "snowflake_window": "WITH p AS (SELECT DISTINCT id, CASE WHEN TRY_CAST(id AS BIGINT) >= 30000000000 THEN (TRY_CAST(id AS BIGINT) >> 22) + 1288834974657 END AS ms FROM post) SELECT * FROM p WHERE ms IS NULL OR ms BETWEEN 1717900000000 AND 1718000000000",
@@ -322,7 +320,7 @@ ORACLES = {
     "crawl_bfs": f"WITH RECURSIVE s AS (SELECT DISTINCT qid, {_HOST.replace('url', 'final_url')} AS h FROM research_sources WHERE qid IS NOT NULL AND final_url IS NOT NULL), e AS (SELECT DISTINCT src, dst FROM (SELECT h AS src, lead(h) OVER (PARTITION BY qid ORDER BY h) AS dst FROM s) WHERE dst IS NOT NULL), b AS (SELECT min(src) AS page, 0 AS depth FROM e UNION SELECT dst, depth + 1 FROM b JOIN e ON src = page WHERE depth < 3) SELECT page, min(depth) AS depth FROM b GROUP BY page ORDER BY 2, 1 LIMIT 200",
     "fetch_ladder": "WITH t AS (SELECT *, CASE render_path WHEN 'api' THEN 0 WHEN 'static' THEN 1 WHEN 'browser' THEN 2 WHEN 'archive' THEN 3 ELSE 4 END AS tier FROM research_sources WHERE url IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY tier, src_id) AS n FROM t) SELECT url, src_id, tier FROM r WHERE n = 1",
     "archive_latest": "SELECT url, (max({'t': fetched_at, 's': src_id})).s AS src_id FROM research_sources WHERE url IS NOT NULL AND fetched_at IS NOT NULL GROUP BY url",
-    "first_nonempty_backend": "WITH s AS (SELECT DISTINCT qid, hit_id, CASE engine WHEN 'bing' THEN 0 WHEN 'brave' THEN 1 ELSE 2 END AS b FROM search_hits WHERE qid IS NOT NULL) SELECT qid, hit_id FROM s QUALIFY b = min(b) OVER (PARTITION BY qid)",
+    "first_nonempty_backend": "WITH s AS (SELECT DISTINCT qid, hit_id, CASE engine WHEN 'papers' THEN 0 WHEN 'findra' THEN 1 ELSE 2 END AS b FROM search_hits WHERE qid IS NOT NULL) SELECT qid, hit_id FROM s QUALIFY b = min(b) OVER (PARTITION BY qid)",
     "watch_upsert": "SELECT sha256(url) AS id, min(hit_id) AS hit_id FROM search_hits WHERE url IS NOT NULL GROUP BY 1",
     "unwatch": "SELECT sha256(url) AS id, min(hit_id) AS hit_id FROM search_hits WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM research_sources WHERE url IS NOT NULL) GROUP BY 1",
     "paged_scan_stop": f"WITH {_U}, n AS (SELECT *, CAST(floor(idx / 5) AS INT) AS page, row_number() OVER (PARTITION BY qid, url ORDER BY idx, hit_id) AS n FROM h WHERE url IS NOT NULL AND qid IS NOT NULL) SELECT qid, page, count(*) FILTER (WHERE n = 1) AS added FROM n GROUP BY 1, 2",

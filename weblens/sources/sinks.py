@@ -26,3 +26,19 @@ def report(rows: DataFrame, order: str, columns: list[str], path: str) -> None:
     from weblens.operators.records import markdown_table
 
     markdown_table(rows, order, columns).orderBy("line_no").select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines; a failed write leaves no part behind, as the committer moves what is whole."""
+    rows.write.mode("overwrite").json(path)
+
+
+def persist_watches(watches: DataFrame, new: DataFrame, path: str) -> None:
+    """The registry with new watches added once each, written beside the old one and then in its place."""
+    from weblens.plans.tools import watches_add
+    from weblens.session import file_system
+
+    write_json(watches_add(watches, new), path + ".new")
+    fs, own = file_system(watches.sparkSession, path)
+    fs.delete(own, True)
+    fs.rename(file_system(watches.sparkSession, path + ".new")[1], own)
