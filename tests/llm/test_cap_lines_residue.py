@@ -151,7 +151,7 @@ RESIDUE = {
     "Hello {{ user.name }}, welcome": True, "Price: ${price} today": True, "<%= page.title %>": True, "[insert caption here]": True, "lorem ipsum dolor sit amet": True,
     "value undefined here": True, "[object Object]": True, "Your text here": True, "%PUBLISH_DATE%": True, "use `{{ x }}` in a template": False, "```\n{{ x }}\n```": False,
     "They saw “lorem ipsum” on the page": False, "« lorem ipsum » again": False, "> quoted {{ x }}": False, "A set {1, 2} of things": False, "plain text of an article": False, "": False, None: False,
-    "rose 5% and fell 7% since": False, "```\n{{ never closed": False, "C# and F# are languages": False,
+    "rose 5% and fell 7% since": False, "She read “" + "long words " * 60 + "lorem ipsum” aloud": False, "“open and lorem ipsum": True, "```\n{{ never closed": False, "C# and F# are languages": False,
 }
 
 

@@ -30,7 +30,7 @@ from weblens.llm.common import lines, normal_line, repeated_lines, join_few, sit
 #: Code and quotations, which may show template syntax or messages without being residue.
 _QUOTED = (
     r"(?s:```.*?(?:```|\z))|(?s:~~~.*?(?:~~~|\z))|``[^\n]+?``|`[^`\n]*`|(?m:^[ \t]*>[^\n]*$)"
-    r"|“[^“”\n]{0,400}”|„[^“”\n]{0,400}[“”]|«[^«»\n]{0,400}»|‹[^‹›\n]{0,400}›|\"[^\"\n]{0,400}\"|‘[^‘’\n]{0,200}’"
+    r"|“[^“”\n]*+”|„[^“”\n]*+[“”]|«[^«»\n]*+»|‹[^‹›\n]*+›|\"[^\"\n]*+\"|‘[^‘’\n]*+’"
 )
 #: Placeholders, left literals and filler.
 RESIDUE = [
@@ -97,9 +97,9 @@ def message_records(df: DataFrame, key: str, url: str, content: str, least: int
     own = df.select(F.col(key), F.col(url), F.col(content))
     counted = lines(own, key, url, content).select(key, F.xxhash64("site", normal_line(F.col("line"))).alias("h"))
     often = repeated_lines(counted, key, least, ["h"]).select("h", F.lit(True).alias("_often"))
-    suspects = own.where(F.exists(F.split(content, "\n"), lambda x: (F.length(x) <= 240) & x.rlike(_MESSAGE_LINE)))
+    suspects = own.where(F.exists(F.split(content, "\n"), lambda x: x.rlike(_MESSAGE_LINE)))
     each = suspects.select(key, site(F.col(url)).alias("site"), F.explode(F.array_distinct(F.split(content, "\n"))).alias("line")).withColumn("_norm", normal_line(F.col("line")))
-    each = each.withColumns({"h": F.xxhash64("site", "_norm"), "_message": (F.length("line") <= 240) & F.col("line").rlike(_MESSAGE_LINE)}).select(key, "h", "_message", F.length("_norm").alias("_n")).distinct()
+    each = each.withColumns({"h": F.xxhash64("site", "_norm"), "_message": F.col("line").rlike(_MESSAGE_LINE)}).select(key, "h", "_message", F.length("_norm").alias("_n")).distinct()
     left = join_few(each, often, ["h"], "left", key)
     rest = F.when(F.col("_message") | F.col("_often").isNotNull(), 0).otherwise(F.col("_n"))
     return left.groupBy(key).agg(F.sum(rest).alias("_rest")).where(F.col("_rest") <= most_article).select(key)
