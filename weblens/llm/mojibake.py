@@ -23,7 +23,7 @@ another word than the sample itself and is thereby left out; of sentences that
 explain garbling (EXPLAINING) the SAMPLEs are left out, too, and only these.
 
 Plan: two scans. Word counts combine on the map side; generated forms are
-filtered by a bitmap of fixed size of the words that occur at all before they are
+filtered by a bitmap of bounded size of the words that occur at all before they are
 shuffled; document words go as 8-byte hashes, distinct in each document.
 
 Defined results: NULL and empty texts are no case; repeated rows count once; an
@@ -48,21 +48,23 @@ from weblens.session import write_shared
 
 SINGLE = ["cp1252", "latin-1", "iso8859-15", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp852"]
 TWICE = ["cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8-r", "cp866"]
-#: Bits of the bitmap of words that occur; a fixed size, whatever the corpus.
-BITMAP_BITS = 1 << 23
-#: A run of ASCII letters and digits (group 1, up to 24 of them) before the first character beyond ASCII and what follows (group 2).
-#: The search starts at characters beyond ASCII, so ASCII text is passed over at once.
-_WORD = "(?=[^\\x00-\\x7f])(?:(?<=(?:^|[\\x00-/:-@\\[-`{-\\x7f])([A-Za-z0-9]{0,24}))|)([^\\x00-\\x7f][A-Za-z0-9\\x{80}-\\x{10ffff}]*+)"
+#: Bits of the bitmap for each distinct word, and fewest and most bits; beyond the most it passes more forms on, and none is lost.
+BITS_PER_WORD, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
+#: Words of which forms are generated at once in a task.
+_AT_ONCE = 500
+#: What is between words: runs of ASCII other than letters and digits.
+_BETWEEN = "[\\x00-/:-@\\[-`{-\\x7f]+"
 _LOST = re.compile("[\x80-\x9f\xad�]")
 _LOSS = "[\\x{80}-\\x{9f}\\x{fffd}]"
 
 
 #: Words of a sentence that shows a garbled sample to explain it; SIGNS are parts of which every such sentence has one.
 EXPLAINING = (
-    r"(?i)\bexample of\b|\bwrong(?:ly)? (?:read|decoded|encod)|\bcharsets?\b|\bcharacter sets?\b|\bencodings?\b|\bmojibake\b|\bmis-?(?:read|decoded)\b|\bgarbled\b"
+    r"(?iu)\bexample of\b|\bwrong(?:ly)? (?:read|decoded|encod)|\bcharsets?\b|\bcharacter sets?\b|\bencodings?\b|\bmojibake\b|\bmis-?(?:read|decoded)\b|\bgarbled\b"
     r"|zeichensatz|zeichenkodierung|\bencodage\b|codificaci[oó]n|codifica[cç][aã]o|кодировк|kodowani|pengodean"
 )
-SIGNS = ["xample of", "rong", "harset", "haracter set", "ncod", "ojibake", "mis", "Mis", "arbled", "eichens", "eichenk", "odifica", "одировк", "odowani", "engodean"]
+#: In small letters, looked for in the lower-cased text.
+SIGNS = ["example of", "wrong", "charset", "character set", "encod", "mojibake", "misread", "mis-read", "misdecoded", "mis-decoded", "garbled", "zeichensatz", "zeichenkodierung", "codifica", "кодировк", "kodowani", "pengodean"]
 
 
 #: Samples in a sentence that explains: quoted, of characters beyond ASCII alone, or the word beside "an example of".
@@ -74,17 +76,21 @@ SAMPLE = (
 
 def evidence(text: Column) -> Column:
     """text without the samples of sentences that explain garbling; their other words stay."""
-    signs = text.contains(SIGNS[0])
-    for sign in SIGNS[1:]:
-        signs = signs | text.contains(sign)
+
+    def some(lower: Column) -> Column:
+        out = lower.contains(SIGNS[0])
+        for sign in SIGNS[1:]:
+            out = out | lower.contains(sign)
+        return out
+
     parts = F.split(text, r"\n|(?<=[.!?])\s+(?=\p{Lu})")
-    return F.when(signs, F.array_join(F.transform(parts, lambda x: F.when(x.rlike(EXPLAINING), F.regexp_replace(x, SAMPLE, " ")).otherwise(x)), "\n")).otherwise(text)
+    return F.when(F.exists(F.array(F.lower(text)), some), F.array_join(F.transform(parts, lambda x: F.when(x.rlike(EXPLAINING), F.regexp_replace(x, SAMPLE, " ")).otherwise(x)), "\n")).otherwise(text)
 
 
 def words(text: Column) -> Column:
     """ARRAY<STRING>: distinct words with a character beyond ASCII, numbers masked."""
-    before, rest = (F.regexp_extract_all(text, F.lit(_WORD), F.lit(i)) for i in (1, 2))
-    return F.array_distinct(F.zip_with(before, rest, lambda a, b: F.regexp_replace(F.concat(a, b), "[0-9]+", "0")))
+    beyond = F.filter(F.split(text, _BETWEEN), lambda w: w.rlike("[\\x{80}-\\x{10ffff}]"))
+    return F.array_distinct(F.transform(beyond, lambda w: F.regexp_replace(w, "[0-9]+", "0")))
 
 
 def symbol_form(word: Column) -> Column:
@@ -175,40 +181,48 @@ def _forms(skeleton: str) -> list[tuple[str, ...]]:
     return _FORMS[skeleton]
 
 
+def _word_forms(words_: list[str], counts: list[int]) -> pd.DataFrame:
+    rows = []
+    for word, df in zip(words_, counts):
+        # ASCII letters stay as they are in every chain, so forms are made of the word with its runs named by single capitals
+        runs = re.findall("[A-Za-z0-9]+", word)
+        if len(runs) <= 26:
+            count = iter(range(26))
+            skeleton = re.sub("[A-Za-z0-9]+", lambda m: chr(65 + next(count)), word)
+            for form in _forms(skeleton):
+                rows.append((re.sub("[A-Z]", lambda m: runs[ord(m[0]) - 65], form), word, df))
+        else:
+            rows += [(form, word, df) for form in garbled_forms(word)]
+    return pd.DataFrame(rows, columns=["form", "original", "df"])
+
+
 def _generated(batches: Iterator[pd.DataFrame], sent) -> Iterator[pd.DataFrame]:
     """(form, original, df, plain) of the forms that the bitmap knows, without those of which the original is plainly the garbled one."""
     bitmap = sent.value
+    bits = np.uint64(len(bitmap) * 8)
     for batch in batches:
-        rows = []
-        for word, df in zip(batch["word"].tolist(), batch["df"].tolist()):
-            # ASCII letters stay as they are in every chain, so forms are made of the word with its runs named by single capitals
-            runs = re.findall("[A-Za-z0-9]+", word)
-            if len(runs) <= 26:
-                count = iter(range(26))
-                skeleton = re.sub("[A-Za-z0-9]+", lambda m: chr(65 + next(count)), word)
-                for form in _forms(skeleton):
-                    rows.append((re.sub("[A-Z]", lambda m: runs[ord(m[0]) - 65], form), word, df))
-            else:
-                rows += [(form, word, df) for form in garbled_forms(word)]
-        if rows:
-            out = pd.DataFrame(rows, columns=["form", "original", "df"])
-            slot = pd.util.hash_array(out["form"].to_numpy(object), categorize=False) % np.uint64(BITMAP_BITS)
+        own, counts = batch["word"].tolist(), batch["df"].tolist()
+        for i in range(0, len(own), _AT_ONCE):
+            out = _word_forms(own[i : i + _AT_ONCE], counts[i : i + _AT_ONCE])
+            if not len(out):
+                continue
+            slot = pd.util.hash_array(out["form"].to_numpy(object), categorize=False) % bits
             out = out[(bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
             pairs = list(zip(out["form"], out["original"]))
             out["plain"] = np.array([directed(f, w) for f, w in pairs], bool)
             yield out[out["plain"].to_numpy() | ~np.array([directed(w, f) for f, w in pairs], bool)]
 
 
-@F.pandas_udf(T.LongType())
-def _slot(word: pd.Series) -> pd.Series:
-    return pd.Series((pd.util.hash_array(word.to_numpy(object), categorize=False) % np.uint64(BITMAP_BITS)).astype(np.int64))
+def _bitmap(counted: DataFrame, bits: int) -> np.ndarray:
+    """`bits` bits, one set for each word; combined in the cluster, so at most MOST_BITS / 32 rows come to the driver."""
 
+    @F.pandas_udf(T.LongType())
+    def slot_of(word: pd.Series) -> pd.Series:
+        return pd.Series((pd.util.hash_array(word.to_numpy(object), categorize=False) % np.uint64(bits)).astype(np.int64))
 
-def _bitmap(counted: DataFrame) -> np.ndarray:
-    """BITMAP_BITS bits, one set for each word; combined in the cluster, so at most BITMAP_BITS / 32 rows come to the driver."""
-    slot = counted.select(_slot("word").alias("s"))
+    slot = counted.select(slot_of("word").alias("s"))
     parts = slot.groupBy((F.col("s") / 32).cast("int").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("bits"))
-    out = np.zeros(BITMAP_BITS // 32, np.uint32)
+    out = np.zeros(bits // 32, np.uint32)
     part = parts.toPandas()
     out[part["i"].to_numpy(np.int64)] = part["bits"].to_numpy(np.int64).astype(np.uint32)
     return out.view(np.uint8)
@@ -218,12 +232,13 @@ def garbled_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(word, original): the garbled words of the corpus with their most likely originals."""
     spark = docs.sparkSession
     own = docs.where(F.col(text).rlike("[^\\x00-\\x7f]")).select(F.xxhash64(text).alias("_t"), F.explode(words(F.col(text))).alias("word")).distinct()  # copies of a text count once
-    counted = own.groupBy("word").agg(F.count("*").alias("df"))
+    counted = write_shared(own.groupBy("word").agg(F.count("*").alias("df")))
     symbols = counted.where(F.col("word").rlike("[A-Za-z]") & F.col("word").rlike("[^A-Za-z0-9\\p{L}]")).groupBy(symbol_form(F.col("word")).alias("word")).agg(F.sum("df").alias("df"))
     counted = write_shared(counted.unionByName(symbols).groupBy("word").agg(F.max("df").alias("df")))
-    sent = spark.sparkContext.broadcast(_bitmap(counted))
+    n = counted.count()
+    sent = spark.sparkContext.broadcast(_bitmap(counted, min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_WORD * n).bit_length()))))
     schema = T.StructType([T.StructField("form", T.StringType()), T.StructField("original", T.StringType()), T.StructField("df", T.LongType()), T.StructField("plain", T.BooleanType())])
-    clean = counted.where(~F.col("word").rlike(_LOSS))
+    clean = counted.where(~F.col("word").rlike(_LOSS)).repartition(max(spark.sparkContext.defaultParallelism, n // 20_000))  # generation is all the work here
     forms = clean.mapInPandas(lambda batches: _generated(batches, sent), schema)
     pairs = counted.withColumnRenamed("df", "_own").join(forms, F.col("word") == F.col("form")).where(F.col("plain") | (F.col("df") > F.col("_own"))).select("word", "original", "df").distinct()
     pairs = write_shared(pairs)
@@ -244,7 +259,8 @@ def _lost(word: Column) -> Column:
 def _each(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, full, word): the words of each document, each once, in full and, where several characters beyond ASCII meet ASCII letters, in symbol form."""
     each = docs.where(F.col(text).rlike("[^\\x00-\\x7f]")).select(key, evidence(F.col(text)).alias("_text")).select(key, F.explode(words(F.col("_text"))).alias("full"))
-    two = F.col("full").rlike("[A-Za-z][^\\x00-\\x7f]{2}|[^\\x00-\\x7f]{2}[A-Za-z]")  # one character alone is too common for a symbol form
+    # one character alone is too common for a symbol form; what has one is told by its bytes first
+    two = (F.octet_length("full") - F.length("full") >= 2) & F.col("full").rlike("[A-Za-z][^\\x00-\\x7f]{2}|[^\\x00-\\x7f]{2}[A-Za-z]")
     return each.select(key, "full", F.explode(F.when(two, F.array_distinct(F.array("full", symbol_form(F.col("full"))))).otherwise(F.array("full"))).alias("word"))
 
 
@@ -264,7 +280,7 @@ def restored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     table = garbled_words(docs, key, text)
     hits = join_few(_each(docs, key, text), table, ["word"], "inner", key).groupBy(F.col(key).alias("_key")).agg(F.collect_set(F.struct("word", "original")).alias("_w"), F.max(_strong(F.col("word"))).alias("_sure")).where("_sure")
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(text, T.StringType()), T.StructField("replaced", T.IntegerType())])
-    pattern = re.compile("[A-Za-z0-9]*[^\x00-\x7f][A-Za-z0-9\x80-\U0010ffff]*")
+    pattern = re.compile("[A-Za-z0-9\x80-\U0010ffff]+")
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -273,6 +289,8 @@ def restored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 known, done = {x["word"]: x["original"] for x in w}, set()
 
                 def put(m: re.Match, known=known, done=done) -> str:
+                    if m[0].isascii():
+                        return m[0]
                     masked = re.sub("[0-9]+", "0", m[0])
                     for form, run in ((masked, "[0-9]+"), (re.sub("[A-Za-z]+", "a", masked), "[A-Za-z]+|[0-9]+")):
                         if form in known:
