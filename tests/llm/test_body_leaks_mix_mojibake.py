@@ -55,7 +55,7 @@ def word_runs(text):
     return re.findall(r"[^\W_]+", text.lower())
 
 
-def test_leaks_match_brute_force(spark):
+def test_leaks_match_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(60)] + ["größe", "дом", "l’été", "x"]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(5, 40)))) for i in range(12)] + [(50, None), (51, ""), (52, "one two three")]
@@ -78,6 +78,9 @@ def test_leaks_match_brute_force(spark):
     a = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_words", F.lit(1))
     b = spark.createDataFrame(items, "item_id long, passage string")
     assert {tuple(r) for r in K.leaks(a, b).collect()} == want and want
+    monkeypatch.setattr(K, "BLOCK_CHARS", 300)
+    assert {tuple(r) for r in K.leaks(a, b).collect()} == want
+    monkeypatch.undo()
     assert K.leaks(a.limit(0), b).count() == 0 and K.leaks(a, b.limit(0)).count() == 0
 
 
@@ -201,3 +204,47 @@ def test_lines_after_a_long_unmatched_block_are_laid():
     dump = [SENTENCES[0], "one line for the whole block", "Short one", SENTENCES[1], "Last"]
     assert [x[1] >= 0 for x in B.structure(html, "\n".join(dump))] == [True, False, True, True, True]
     assert {x[2] for x in B.structure(html, "\n".join(dump))[2:]} == {"ul.more"}
+
+
+def test_explaining_words_of_any_case_pass_their_signs(spark):
+    forms = ["example of", "wrongly read", "wrong decoded", "charset", "character sets", "encodings", "mojibake", "misread", "mis-decoded", "garbled", "zeichensatz", "zeichenkodierung", "encodage", "codificación", "codificacion", "codificação", "кодировка", "kodowanie", "pengodean"]
+    rows = [(i, f"An {y} of “GrÃ¶ÃŸe” text.") for i, y in enumerate(y for x in forms for y in (x, x.upper(), x.title()))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["t"] for r in df.select(J.evidence(F.col("text")).alias("t")).collect() if "GrÃ" in r["t"]] == []
+
+
+def test_words_after_long_runs_are_whole(spark):
+    run = "x" * 100_000
+    df = spark.createDataFrame([(1, f"{run}é {'a' * 30}ü9, b"), (2, run)], "doc_id long, text string")
+    got = {r["doc_id"]: r["w"] for r in df.select("doc_id", J.words(F.col("text")).alias("w")).collect()}
+    assert got == {1: [f"{run}é", f"{'a' * 30}ü0"], 2: []}
+
+
+def test_inexact_leaks_match_plain_edit_distance(spark):
+    """Every window of ten words against every piece of the text, by the plain recurrence."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(40)] + ["größe", "harbour", "x", "light"]
+    items = [(i, " ".join(rng.choices(vocabulary, k=12))) for i in range(6)]
+    docs = []
+    for d in range(60):
+        piece = items[rng.randrange(6)][1].split()[rng.randrange(3) :][:10]
+        text = list(" ".join(piece))
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(text))
+            text[at : at + 1] = rng.choice([[], [rng.choice("abz")], [text[at], "q"]])
+        docs.append((d, " ".join(rng.choices(vocabulary, k=rng.randrange(6))) + " " + "".join(text) + " " + " ".join(rng.choices(vocabulary, k=rng.randrange(6)))))
+
+    def near(piece, text):
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(piece, 1):
+            new = [i]
+            for j, t in enumerate(text, 1):
+                new.append(min(row[j - 1] + (c != t), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row) <= 2
+
+    spaced = lambda t: " " + " ".join(word_runs(t)) + " "
+    want = {(d, i) for d, t in docs for i, p in items for w in [p.split()] if any(near(spaced(" ".join(w[k : k + 10])), spaced(t)) for k in range(3))}
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    got = {tuple(r) for r in K.leaks(a, b, edits=2).collect()}
+    assert len(want) > 20 and got == want

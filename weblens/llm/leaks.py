@@ -11,8 +11,10 @@ of `words` words are kept. In these, every such window is verified by a banded
 alignment against the document.
 
 Plan: one pass over the documents without a shuffle of their text; passages are
-a stated query set and go to the tasks in blocks of at most BLOCK_CHARS
-characters, so what is broadcast is bounded and a larger set takes more passes.
+a stated query set and go to the tasks in blocks of about BLOCK_CHARS characters,
+so what is broadcast is bounded. A set of several blocks is searched in two steps:
+one pass over all documents keeps those that can reach the lemma's bound with
+q-grams of any passage, by a bitmap of SIEVE_BITS, and only these meet the blocks.
 
 Defined results: NULL or empty texts and passages of fewer than `words` words
 have no leaks; repeated rows count once; an empty table on either side gives an
@@ -29,8 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weblens.session import write_shared
+
 #: Characters of passages that go to the tasks at once.
 BLOCK_CHARS = 4_000_000
+#: Bits of the bitmap of all passages' q-grams; it is used for sets beyond one block.
+SIEVE_BITS = 1 << 27
 #: Longest q-gram.
 MAX_Q = 12
 #: Characters of documents that are looked up at once.
@@ -161,16 +167,48 @@ class Passages:
         return out
 
 
-def _blocks(items: Iterator) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
-    for row in items:
-        block.append((row[0], row[1]))
-        size += len(row[1])
-        if size >= BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _sieve_bounds(words: int, edits: int) -> tuple[int, int, int]:
+    """(q, fewest q-grams, longest run of them at least) of any window of so many words, as the shortest one has: words of one letter."""
+    shortest = 2 * words + 1
+    q = max(2, min(MAX_Q, shortest // (edits + 2) + 1))
+    least = max(1, shortest - q + 1 - edits * q)
+    return q, least, max(1, least // (edits + 1))
+
+
+def _sieve(queries: DataFrame, q: int) -> np.ndarray:
+    """Bitmap of the q-grams of all passages, combined in the cluster."""
+
+    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [_grams(_codes(t), q) for t in batch["_words"]]
+            if parts:
+                slot = np.unique(np.concatenate(parts) % np.uint64(SIEVE_BITS)).astype(np.int64)
+                yield pd.DataFrame({"i": slot // 32, "b": np.int64(1) << (slot % 32)})
+
+    bits = queries.select("_words").mapInPandas(slots, "i bigint, b bigint").groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()  # at most SIEVE_BITS / 32 rows
+    out = np.zeros(SIEVE_BITS // 32, np.uint32)
+    out[bits["i"].to_numpy()] = bits["b"].to_numpy().astype(np.uint32)
+    return out
+
+
+def _sieved(own: DataFrame, queries: DataFrame, words: int, edits: int) -> DataFrame:
+    """The documents that have enough q-grams of passages, and enough of them in a row, written to the shared folder."""
+    q, least, run = _sieve_bounds(words, edits)
+    sent = own.sparkSession.sparkContext.broadcast(_sieve(queries, q))
+
+    def possible(text: str) -> bool:
+        slot = _grams(_codes(text), q) % np.uint64(SIEVE_BITS)
+        hit = (sent.value[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & 1 == 1
+        if hit.sum() < least:
+            return False
+        gaps = np.diff(np.flatnonzero(np.concatenate([[True], ~hit, [True]])))
+        return bool(gaps.max() > run)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[[possible(t) for t in batch["_words"]]]
+
+    return write_shared(own.mapInPandas(keep, own.schema))
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", passage: str = "passage", words: int = 10, edits: int = 0) -> DataFrame:
@@ -179,8 +217,14 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str
     schema = T.StructType([T.StructField(doc_key, docs.schema[doc_key].dataType), T.StructField(item_key, items.schema[item_key].dataType)])
     own = docs.where(F.col(text).isNotNull()).select(doc_key, word_text(F.col(text)).alias("_words"))
     queries = items.where(F.col(passage).isNotNull()).select(item_key, word_text(F.col(passage)).alias("_words")).distinct()
+    size = queries.agg(F.sum(F.length("_words"))).first()[0] or 0
+    number = -(-size // BLOCK_CHARS)
+    if number > 1:
+        own = _sieved(own, queries, words, edits)
+        queries = write_shared(queries.withColumn("_block", F.pmod(F.xxhash64(item_key, "_words"), F.lit(number))))
     result = spark.createDataFrame([], schema)
-    for block in _blocks(queries.toLocalIterator()):
+    for n in range(number):
+        block = [(r[0], r[1]) for r in (queries if number == 1 else queries.where(F.col("_block") == n)).select(item_key, "_words").collect()]  # about BLOCK_CHARS characters
         sent = spark.sparkContext.broadcast(Passages(block, words, edits))
 
         def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
