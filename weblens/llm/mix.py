@@ -131,12 +131,12 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     whole = rows.where("_epochs > 0").select(key, "source", F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1)).alias("epoch"), "n_tokens")
     part = rows.where("_rest > 0").withColumn("_u", _unit(key, seed, F.col("_epochs"))).withColumn("_slice", F.pmod("_u", F.lit(PREFIX_BUCKETS)).cast("int"))
     before = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = part.groupBy("source", "_slice").agg(F.sum("n_tokens").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    if len(plan) * PREFIX_BUCKETS <= 1_000_000:  # rows at most
-        slices = F.broadcast(slices)
-    part = part.join(slices, ["source", "_slice"])
-    inside = part.where(F.col("_before") + F.col("_n") <= F.col("_rest"))
-    edge = part.where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_n") > F.col("_rest")))
+    slices = part.groupBy("source", "_slice", "_rest").agg(F.sum("n_tokens").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    edges = slices.where(F.col("_before") + F.col("_n") > F.col("_rest")).groupBy("source").agg(F.min(F.struct("_slice", "_before")).alias("_e"))
+    edges = edges.select("source", F.col("_e._slice").alias("_edge"), F.col("_e._before").alias("_before"))
+    part = part.join(F.broadcast(edges), "source", "left")  # at most MAX_TARGETS rows
+    inside = part.where(F.col("_edge").isNull() | (F.col("_slice") < F.col("_edge")))
+    edge = part.where(F.col("_slice") == F.col("_edge"))
     order = Window.partitionBy("source", "_slice").orderBy("_u", key).rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("_sum", F.sum("n_tokens").over(order)).where(F.col("_before") + F.col("_sum") <= F.col("_rest"))
     cols = [F.col(key), F.col("source"), F.col("_epochs").alias("epoch"), F.col("n_tokens")]
