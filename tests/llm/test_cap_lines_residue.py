@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from weblens.llm import cap as C
@@ -125,7 +126,9 @@ def test_names_and_weekdays_are_masked(spark):
     assert near == {(i, n) for i in range(7) for n in (1, 2, 3)}
 
 
-def test_links_match_all_pairs():
+@pytest.mark.parametrize("few", [0, 16])
+def test_links_match_all_pairs(monkeypatch, few):
+    monkeypatch.setattr(L, "_FEW", few)
     rng = random.Random(5)
     for _ in range(200):
         base = [rng.choices("a b c d e f g h".split(), k=rng.randint(3, 40)) for _ in range(3)]

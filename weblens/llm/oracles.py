@@ -15,4 +15,12 @@ n AS (SELECT src_id, site, line_no, {NORM.format("line")} AS norm FROM d WHERE s
 k AS (SELECT site, norm FROM n WHERE norm <> '' GROUP BY site, norm HAVING count(DISTINCT src_id) >= 5)
 SELECT DISTINCT src_id, CAST(line_no AS INTEGER) AS line_no FROM n JOIN k USING (site, norm)
 """
-ORACLES = {"p1_found": P1, "p2_found": P2}
+WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+P6 = f"""
+WITH i AS (SELECT DISTINCT item_id, {WORDS.format("passage")} AS w FROM eval_items WHERE passage IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, {WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+a AS (SELECT item_id, array_to_string(list_slice(w, k, k + 9), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM i)),
+b AS (SELECT doc_id, array_to_string(list_slice(w, k, k + 9), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d))
+SELECT DISTINCT doc_id, item_id FROM b JOIN a USING (g)
+"""
+ORACLES = {"p1_found": P1, "p2_found": P2, "p6_found": P6}
