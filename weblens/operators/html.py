@@ -155,6 +155,22 @@ def extract(markup: str, schema: dict) -> dict:
     return {"data": data, "valid": valid}
 
 
+def _lengths(root: Node) -> tuple[dict[int, int], dict[int, int]]:
+    """Characters of each node's text and of the links in it, by the node's id; children before parents, so each node is read once."""
+    own: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    for node in reversed(list(root.walk())):
+        own[id(node)] = linked[id(node)] = 0
+        if node.tag in SKIP:
+            continue
+        for c in node.children:
+            own[id(node)] += len(" ".join(c.split())) if isinstance(c, str) else own[id(c)]
+            linked[id(node)] += 0 if isinstance(c, str) else linked[id(c)]
+        if node.tag == "a":
+            linked[id(node)] = own[id(node)]
+    return own, linked
+
+
 def article(markup: str) -> dict:
     """{title, content, word_count, lang, published, author}: the container with most sentence text and few links, furniture left out, as markdown."""
     root = tree(markup)
@@ -175,19 +191,18 @@ def article(markup: str) -> dict:
                 elif isinstance(x, dict):
                     todo += [x["@graph"]] if "@graph" in x else []
                     structured = structured or x
+    own, linked = _lengths(root)
     best, top = None, 0.0
     for node in root.walk():
         if node.tag not in ("article", "main", "section", "div", "td", "body"):
             continue
         score = 0.0
         for child in node.children:
-            if isinstance(child, Node) and child.tag in ("p", "h1", "h2", "pre", "blockquote", "ul", "ol", "table", "div"):
-                inner = child.text()
-                linked = sum(len(a.text()) for a in child.walk() if a.tag == "a")
-                if child.tag != "div" or not any(isinstance(c, Node) and c.tag in BLOCKS for c in child.children):
-                    score += max(0, len(inner) - 2 * linked)
-            elif isinstance(child, str):
+            if isinstance(child, str):
                 score += len(child.strip())
+            elif child.tag in ("p", "h1", "h2", "pre", "blockquote", "ul", "ol", "table", "div"):
+                if child.tag != "div" or not any(isinstance(c, Node) and c.tag in BLOCKS for c in child.children):
+                    score += max(0, own[id(child)] - 2 * linked[id(child)])
         score *= 1.3 if node.tag in ("article", "main") else 1.0
         if score > top:
             best, top = node, score
