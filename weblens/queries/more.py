@@ -296,7 +296,36 @@ def extractor_arms(spark, d):
     return arms(_pages(spark, d), "page_id", "html").select("page_id", "arm", F.length("content").alias("chars"), "error")
 
 
-_FUNCTIONS = (fix_markdown, extractor_arms, news_feed, token_similarities, tally_three, boilerplate_rejection, registry_roundtrip, scan_pages, looks_blocked, failover, redirect_resolve, robots_sitemaps, site_query, raw_query, route_by_type, is_pdf_url, pdf_links, select_with_reasons, watch_content, same_site_links, config_validators, substring_any, find_similar, shared_strings, sweep_by_category, quantile_linear, content_recall, rouge_l, jaccard, ab_rerank, engine_hits, batch_cap, clamp, title_overlap, json_depth, parse_judge, pdf_page_caps, zip_guard, bundle_sim, read_pages, smart_search_route, batch_read, research_quick, research_deep, map_urls, mask_url, dom_text)
+def cache_put(spark, d):
+    """Texts put into a cache twice, long ones apart, and got back."""
+    from weblens.sources import sinks
+
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.expr("repeat(text, cast(doc_id % 3 * 40 + 1 as int))").alias("payload"))
+    first = sinks.cache_put(None, t.where("doc_id % 2 = 0").withColumns({"payload": F.lit("old"), "at": F.lit(1)}), "doc_id", "at", "payload")
+    kept = sinks.cache_put(first, t.withColumn("at", F.lit(2)), "doc_id", "at", "payload")
+    big = kept.select(F.col("doc_id").alias("_d"), F.col("blob").isNotNull().alias("apart"))
+    return sinks.cache_get(kept, "payload").join(big, F.col("doc_id") == F.col("_d")).select("doc_id", "apart", F.sha2("payload", 256).alias("payload"))
+
+
+def render_report(spark, d):
+    """A report written as text and read back."""
+    from weblens.session import shared_path
+    from weblens.sources import sinks
+
+    path = shared_path(spark, "report")
+    sinks.report(table(spark, d, "nation"), "n_nationkey", ["n_nationkey", "n_name"], path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def fetch_bytes(spark, d):
+    """The tables' own files as bytes."""
+    from weblens.sources.tables import binary_documents
+
+    files = binary_documents(spark, d, "*.parquet")
+    return files.select(F.element_at(F.split("url", "/"), -1).alias("name"), F.octet_length("body").alias("bytes"))
+
+
+_FUNCTIONS = (cache_put, render_report, fetch_bytes, fix_markdown, extractor_arms, news_feed, token_similarities, tally_three, boilerplate_rejection, registry_roundtrip, scan_pages, looks_blocked, failover, redirect_resolve, robots_sitemaps, site_query, raw_query, route_by_type, is_pdf_url, pdf_links, select_with_reasons, watch_content, same_site_links, config_validators, substring_any, find_similar, shared_strings, sweep_by_category, quantile_linear, content_recall, rouge_l, jaccard, ab_rerank, engine_hits, batch_cap, clamp, title_overlap, json_depth, parse_judge, pdf_page_caps, zip_guard, bundle_sim, read_pages, smart_search_route, batch_read, research_quick, research_deep, map_urls, mask_url, dom_text)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 from weblens.queries.ranking import _H, _Q, ORACLES as _R  # noqa: E402
 from weblens.queries.scalars import _F, _SUFFIX  # noqa: E402
@@ -305,6 +334,8 @@ _S1 = "s AS (SELECT DISTINCT ON (src_id) * FROM research_sources)"
 _HD = f"WITH {_H} "
 _JAC = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) END"
 ORACLES = {
+    "cache_put": "SELECT doc_id, strlen(repeat(text, doc_id % 3 * 40 + 1)) > 32768 AS apart, sha256(repeat(text, doc_id % 3 * 40 + 1)) AS payload FROM documents WHERE text IS NOT NULL",
+    "render_report": "SELECT '| ' || n_nationkey || ' | ' || n_name || ' |' AS line FROM nation UNION ALL SELECT unnest(['| n_nationkey | n_name |', '| --- | --- |'])",
     "fix_markdown": r"SELECT doc_id, '# ' || source || chr(10) || '```' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'python' END || chr(10) || 'a = 1' || chr(10) || 'b = 2' || chr(10) || '```' || chr(10) || '```sql' || chr(10) || 'SELECT ' || doc_id || chr(10) || '```' || chr(10) || chr(10) || '| x \| y | z |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' AS fixed FROM documents WHERE source IS NOT NULL",
     "news_feed": _HD + "SELECT qid, idx, coalesce(title, '') AS title, nullif(published, '') AS published, CASE WHEN nullif(published, '') IS NOT NULL THEN nullif(date_source, '') END AS date_source, round(CASE WHEN NOT isnan(_sem_score) THEN greatest(-1.0, least(1.0, _sem_score)) END, 6) AS score FROM h",
     "token_similarities": f"WITH {_H}, k AS (SELECT hit_id, {_TOK.format('title')} AS a, {_TOK.format('snippet')} AS b FROM h) SELECT hit_id, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / sqrt(CAST(len(a) AS DOUBLE) * len(b)) ELSE 0.0 END, 6) AS sim FROM k",

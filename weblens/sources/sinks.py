@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,39 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     return both.groupBy(key).agg(F.max_by(F.struct(*both.columns), F.col(order)).alias("_r")).select("_r.*")
 
 
+#: Bytes of a payload from which it is kept compressed and apart.
+INLINE_BYTES = 32_768
+
+
+@F.pandas_udf("binary")
+def _packed(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else gzip.compress(t.encode(), mtime=0) for t in texts], dtype=object)
+
+
+@F.pandas_udf("string")
+def _unpacked(blobs: pd.Series) -> pd.Series:
+    out = []
+    for b in blobs:
+        try:
+            out.append(None if b is None else gzip.decompress(bytes(b)).decode())
+        except (OSError, EOFError, UnicodeDecodeError):  # a damaged entry is a miss
+            out.append(None)
+    return pd.Series(out, dtype=object)
+
+
+def cache_put(old: DataFrame | None, new: DataFrame, key: str, order: str, payload: str) -> DataFrame:
+    """Entries with `inline` or, beyond INLINE_BYTES, `blob` in place of the payload; the newest of each key, of old entries of that form and new ones."""
+    big = F.octet_length(payload) > INLINE_BYTES
+    rows = new.withColumns({"inline": F.when(~big, F.col(payload)), "blob": _packed(F.when(big, F.col(payload)))}).drop(payload)
+    rows = rows if old is None else old.unionByName(rows)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.col(order)).alias("_r")).select("_r.*")
+
+
+def cache_get(entries: DataFrame, payload: str) -> DataFrame:
+    """Entries with their payload again; NULL for a damaged one."""
+    return entries.withColumn(payload, F.coalesce("inline", _unpacked(F.col("blob")))).drop("inline", "blob")
+
+
 def purge(entries: DataFrame, created: str, cutoff: Column) -> DataFrame:
     """Entries not older than the cutoff."""
     return entries.where(F.col(created) >= cutoff)
