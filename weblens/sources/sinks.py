@@ -7,6 +7,7 @@ import gzip
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
@@ -19,12 +20,12 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
 INLINE_BYTES = 32_768
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _packed(texts: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else gzip.compress(t.encode(), mtime=0) for t in texts], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unpacked(blobs: pd.Series) -> pd.Series:
     out = []
     for b in blobs:
