@@ -219,3 +219,13 @@ def test_upsert_asks_the_file_system(spark, tmp_path):
         write(spark.createDataFrame(rows, "k int, t int, v string"), number)
     assert sorted(tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/up/v2").collect()) == [(1, 2, "c"), (2, 1, "b")]
     assert not (tmp_path / "up" / "v0").exists()
+
+
+def test_trees_of_any_depth_are_counted(spark):
+    from weblens.operators.records import comment_tree, tree_sizes
+
+    chain = [(1, None)] + [(i, i - 1) for i in range(2, 40)] + [(100, None), (101, 100), (102, 100), (200, 201), (201, 200)]  # the last two are in no tree
+    df = spark.createDataFrame(chain, "id long, parent long")
+    assert {tuple(r) for r in tree_sizes(df).collect()} == {(1, 39), (100, 3)}
+    got = sorted(tuple(r) for r in comment_tree(df, max_depth=3, cap=2).select("root", "id", "depth", "pos").collect())
+    assert got == [(1, 1, 0, 1), (1, 2, 1, 2), (100, 100, 0, 1), (100, 101, 1, 2)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblens.functions.text import lenient_int
@@ -108,18 +108,35 @@ def inverted_index_text(index: DataFrame, key: str, words: str) -> DataFrame:
     return e.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "w"))), lambda x: x["w"]), " ").alias("text"))
 
 
-def comment_tree(nodes: DataFrame, key: str = "id", parent: str = "parent", max_depth: int = 8, cap: int = 500, rounds: int = 64) -> DataFrame:
-    """(id, depth, pos): pre-order of a forest, children by id; to max_depth and the first `cap` nodes shown.
+def tree_sizes(nodes: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
+    """(root, total): nodes of each tree of a forest, of any depth. Every node's link upwards is doubled in each round, until all end at a root; nodes without a root are in no tree."""
+    from weblens.session import cut
+
+    up = nodes.select(F.col(key).alias("_id"), F.coalesce(parent, key).alias("_top"))
+    for _ in range(32):  # enough for any depth; only nodes in a circle never come to an end
+        step = up.select(F.col("_id").alias("_i"), F.col("_top").alias("_t"))
+        doubled = cut(up.join(step, F.col("_top") == F.col("_i"), "left").select("_id", F.coalesce("_t", "_top").alias("_top"), (F.col("_t") != F.col("_top")).alias("_moved")))
+        up = doubled.select("_id", "_top")
+        if doubled.where("_moved").isEmpty():
+            break
+    roots = nodes.where(F.col(parent).isNull()).select(F.col(key).alias("root"))
+    return up.join(roots, F.col("_top") == F.col("root")).groupBy("root").agg(F.count("*").alias("total"))
+
+
+def comment_tree(nodes: DataFrame, key: str = "id", parent: str = "parent", max_depth: int = 8, cap: int = 500) -> DataFrame:
+    """(root, id, depth, pos): each tree in pre-order, children by id, to max_depth and its first `cap` nodes; tree_sizes tells what is left out.
 
-    One join a level; the path of ids orders the tree.
+    One join a level; the path of ids orders a tree, of which no task keeps more than cap nodes.
     """
     wide = lambda c: F.lpad(c.cast("string"), 20, "0")
-    level = nodes.where(F.col(parent).isNull()).select(key, F.lit(0).alias("depth"), wide(F.col(key)).alias("path"))
+    level = nodes.where(F.col(parent).isNull()).select(F.col(key).alias("root"), key, F.lit(0).alias("depth"), wide(F.col(key)).alias("path"))
     out = level
-    for depth in range(1, min(max_depth, rounds) + 1):
-        level = nodes.join(level.select(F.col(key).alias("_p"), F.col("path").alias("_path")), F.col(parent) == F.col("_p")).select(key, F.lit(depth).alias("depth"), F.concat_ws("/", "_path", wide(F.col(key))).alias("path"))
+    for depth in range(1, max_depth + 1):
+        above = level.select("root", F.col(key).alias("_p"), F.col("path").alias("_path"))
+        level = nodes.join(above, F.col(parent) == F.col("_p")).select("root", key, F.lit(depth).alias("depth"), F.concat_ws("/", "_path", wide(F.col(key))).alias("path"))
         out = out.unionByName(level)
-    return out.orderBy("path").limit(cap)
+    pos = F.row_number().over(Window.partitionBy("root").orderBy("path"))
+    return out.withColumn("pos", pos).where(F.col("pos") <= cap).drop("path")
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, max_pages: int) -> DataFrame:

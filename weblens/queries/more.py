@@ -327,13 +327,16 @@ def fetch_bytes(spark, d):
 
 _FUNCTIONS = (cache_put, render_report, fetch_bytes, fix_markdown, extractor_arms, news_feed, token_similarities, tally_three, boilerplate_rejection, registry_roundtrip, scan_pages, looks_blocked, failover, redirect_resolve, robots_sitemaps, site_query, raw_query, route_by_type, is_pdf_url, pdf_links, select_with_reasons, watch_content, same_site_links, config_validators, substring_any, find_similar, shared_strings, sweep_by_category, quantile_linear, content_recall, rouge_l, jaccard, ab_rerank, engine_hits, batch_cap, clamp, title_overlap, json_depth, parse_judge, pdf_page_caps, zip_guard, bundle_sim, read_pages, smart_search_route, batch_read, research_quick, research_deep, map_urls, mask_url, dom_text)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
-from weblens.queries.ranking import _H, _Q, ORACLES as _R  # noqa: E402
+from weblens.queries.ranking import _H, _Q, _SERP, RERANKED, ORACLES as _R  # noqa: E402
 from weblens.queries.scalars import _F, _SUFFIX  # noqa: E402
 
 _S1 = "s AS (SELECT DISTINCT ON (src_id) * FROM research_sources)"
 _HD = f"WITH {_H} "
 _JAC = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) END"
+_SEM = "coalesce(CASE WHEN NOT isnan(_sem_score) THEN _sem_score END, 0.0)"
 ORACLES = {
+    "ab_rerank": RERANKED + f", x AS (SELECT qid, {_SEM} AS a FROM h WHERE idx = 1), y AS (SELECT qid, {_SEM} AS b FROM ranked WHERE rank = 1) SELECT count(*) AS n, round(avg(b - a), 6) AS delta, round(avg(CAST(a <> b AS INT)), 6) AS changed FROM x JOIN y USING (qid)",
+    "research_quick": RERANKED + f", d AS (SELECT qid, hit_id, url, rank, row_number() OVER (PARTITION BY qid, url ORDER BY rank) AS n FROM ranked WHERE rank <= 9 AND url <> ''), e AS (SELECT qid, hit_id, rank, row_number() OVER (PARTITION BY qid, {_HOST} ORDER BY rank) - 1 AS n FROM d WHERE n = 1 AND NOT ({_SERP})) SELECT qid, hit_id, row_number() OVER (PARTITION BY qid ORDER BY n >= 2, least(n, 2), rank) AS pos FROM e QUALIFY pos <= 3",
     "cache_put": "SELECT doc_id, strlen(repeat(text, doc_id % 3 * 40 + 1)) > 32768 AS apart, sha256(repeat(text, doc_id % 3 * 40 + 1)) AS payload FROM documents WHERE text IS NOT NULL",
     "render_report": "SELECT '| ' || n_nationkey || ' | ' || n_name || ' |' AS line FROM nation UNION ALL SELECT unnest(['| n_nationkey | n_name |', '| --- | --- |'])",
     "fix_markdown": r"SELECT doc_id, '# ' || source || chr(10) || '```' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'python' END || chr(10) || 'a = 1' || chr(10) || 'b = 2' || chr(10) || '```' || chr(10) || '```sql' || chr(10) || 'SELECT ' || doc_id || chr(10) || '```' || chr(10) || chr(10) || '| x \| y | z |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' AS fixed FROM documents WHERE source IS NOT NULL",

@@ -157,6 +157,8 @@ rec AS (SELECT qid, idx, CASE WHEN u <> '' THEN [u] ELSE []::VARCHAR[] END AS us
   UNION ALL SELECT nk.qid, nk.idx, CASE WHEN dup OR nk.u = '' THEN us ELSE list_append(us, nk.u) END, CASE WHEN dup OR nk.t = '' THEN ts ELSE list_append(ts, nk.t) END, NOT dup
   FROM rec JOIN nk ON nk.qid = rec.qid AND nk.idx = rec.idx + 1, LATERAL (SELECT list_contains(us, nk.u) OR list_contains(ts, nk.t) AS dup)),
 hd AS (SELECT h.* FROM h JOIN rec USING (qid, idx) WHERE kept)"""
+_SERP = f"""len(list_filter(string_split({_P.format(4)}, '&'), lambda p: lower(split_part(p, '=', 1)) IN {_LIST(U.SERP_PARAMS)} AND contains(p, '=') AND trim(regexp_replace(regexp_replace(p, '^[^=]*=', ''), '\\+|%20', ' ', 'g')) <> '')) > 0
+        AND (len(list_filter(string_split({_P.format(3)}, '/'), lambda x: x <> '')) = 0 OR len(list_filter(string_split({_P.format(3)}, '/'), lambda x: lower(split_part(x, '.', 1)) IN ('search', 'results'))) > 0)"""
 _D = f"WITH RECURSIVE {_H}, {_Q}, {_DEDUP}, "
 _RL = _D + _SCORE.replace("FROM h x JOIN q", "FROM hd x JOIN q").replace("{0}", "true")
 ORACLES = {
@@ -190,8 +192,7 @@ ORACLES = {
     "deep_bundle": "WITH s AS (SELECT DISTINCT ON (src_id) * FROM research_sources), r AS (SELECT qid, src_id, row_number() OVER (PARTITION BY qid ORDER BY src_id) AS pos FROM s WHERE qid IS NOT NULL AND coalesce(word_count, 0) >= 30) SELECT * FROM r WHERE pos <= 3",
     "gate_content": "SELECT DISTINCT src_id, CASE WHEN coalesce(word_count, 0) = 0 THEN 'empty_content' WHEN word_count < 30 THEN 'low_content' ELSE 'ok' END AS gate FROM research_sources",
     "dedup_results": f"""WITH {_H}, n AS (SELECT *, row_number() OVER (PARTITION BY qid, url ORDER BY idx) AS n FROM h WHERE url <> ''),
-      k AS (SELECT * FROM n WHERE n = 1 AND NOT (len(list_filter(string_split({_P.format(4)}, '&'), lambda p: lower(split_part(p, '=', 1)) IN {_LIST(U.SERP_PARAMS)} AND contains(p, '=') AND trim(regexp_replace(regexp_replace(p, '^[^=]*=', ''), '\\+|%20', ' ', 'g')) <> '')) > 0
-        AND (len(list_filter(string_split({_P.format(3)}, '/'), lambda x: x <> '')) = 0 OR len(list_filter(string_split({_P.format(3)}, '/'), lambda x: lower(split_part(x, '.', 1)) IN ('search', 'results'))) > 0)))
+      k AS (SELECT * FROM n WHERE n = 1 AND NOT ({_SERP}))
       SELECT qid, hit_id, pos FROM (SELECT qid, hit_id, row_number() OVER (PARTITION BY qid ORDER BY idx) AS pos FROM k) WHERE pos <= 8""",
     "map_result": _S["url_date"].replace("SELECT hit_id, coalesce(", f"WITH {_H}, d AS (SELECT hit_id, coalesce(").replace("FROM search_hits WHERE url IS NOT NULL", "FROM h WHERE url IS NOT NULL) SELECT hit_id, coalesce(title, '') AS title, coalesce(url, '') AS url, coalesce(nullif(published, ''), url_date) AS published, CASE WHEN nullif(published, '') IS NULL AND url_date IS NOT NULL THEN 'url' END AS date_source FROM h LEFT JOIN d USING (hit_id)"),
 }
@@ -214,3 +215,5 @@ def _classify_sql() -> str:
 
 
 ORACLES["classify_query"] = _classify_sql()
+#: The lexical rerank without recency, as k6 with the rank, for the queries that go on from it.
+RERANKED = _D + _SCORE.replace("FROM h x JOIN q", "FROM hd x JOIN q").replace("{0}", "false") + f", b AS (SELECT *, lex AS sc, has_overlap AS keep FROM s), {_FLOOR}, ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sc DESC, fresh_rank, idx) AS rank FROM k6)"

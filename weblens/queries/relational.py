@@ -203,7 +203,8 @@ def comment_tree(spark, d):
     r = table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("parent"))
     n = table(spark, d, "nation").select((F.col("n_nationkey") + 100).cast("bigint").alias("id"), F.col("n_regionkey").cast("bigint").alias("parent"))
     s = table(spark, d, "supplier").select((F.col("s_suppkey") + 1000).cast("bigint").alias("id"), (F.col("s_nationkey") + 100).cast("bigint").alias("parent"))
-    return P.comment_tree(r.unionByName(n).unionByName(s)).select("id", "depth")
+    nodes = r.unionByName(n).unionByName(s)
+    return P.comment_tree(nodes, cap=20).join(P.tree_sizes(nodes), "root").select("root", "id", "depth", "pos", "total")
 
 
 def crawl_bfs(spark, d):
@@ -316,7 +317,7 @@ ORACLES = {
     "lenient_int": "SELECT DISTINCT previous, TRY_CAST(replace(trim(regexp_replace(previous, '[.][0-9]*[KMB%]?$', ',000')), ',', '') AS BIGINT) AS n FROM ff_calendar_sample WHERE previous IS NOT NULL",
     "markdown_table": "SELECT 0 AS line_no, '| n_nationkey | n_name |' AS line UNION ALL SELECT 1, '| --- | --- |' UNION ALL SELECT n_nationkey + 2, '| ' || n_nationkey || ' | ' || n_name || ' |' FROM nation",
     "csv_caps": "SELECT l_returnflag, count(*) AS rows_total, least(count(*), 2000) AS rows_returned, count(*) > 2000 AS truncated FROM lineitem GROUP BY 1",
-    "comment_tree": "WITH RECURSIVE n AS (SELECT r_regionkey::BIGINT AS id, NULL::BIGINT AS parent FROM region UNION ALL SELECT n_nationkey + 100, n_regionkey FROM nation UNION ALL SELECT s_suppkey + 1000, s_nationkey + 100 FROM supplier), t AS (SELECT id, 0 AS depth, [id] AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.id, t.depth + 1, list_append(t.path, n.id) FROM t JOIN n ON n.parent = t.id WHERE t.depth < 8) SELECT id, depth FROM (SELECT * FROM t ORDER BY path LIMIT 500)",
+    "comment_tree": "WITH RECURSIVE n AS (SELECT r_regionkey::BIGINT AS id, NULL::BIGINT AS parent FROM region UNION ALL SELECT n_nationkey + 100, n_regionkey FROM nation UNION ALL SELECT s_suppkey + 1000, s_nationkey + 100 FROM supplier), t AS (SELECT id AS root, id, 0 AS depth, [id] AS path FROM n WHERE parent IS NULL UNION ALL SELECT t.root, n.id, t.depth + 1, list_append(t.path, n.id) FROM t JOIN n ON n.parent = t.id) SELECT root, id, depth, row_number() OVER (PARTITION BY root ORDER BY path) AS pos, count(*) OVER (PARTITION BY root) AS total FROM t QUALIFY pos <= 20",
     "crawl_bfs": f"WITH RECURSIVE s AS (SELECT DISTINCT qid, {_HOST.replace('url', 'final_url')} AS h FROM research_sources WHERE qid IS NOT NULL AND final_url IS NOT NULL), e AS (SELECT DISTINCT src, dst FROM (SELECT h AS src, lead(h) OVER (PARTITION BY qid ORDER BY h) AS dst FROM s) WHERE dst IS NOT NULL), b AS (SELECT min(src) AS page, 0 AS depth FROM e UNION SELECT dst, depth + 1 FROM b JOIN e ON src = page WHERE depth < 3) SELECT page, min(depth) AS depth FROM b GROUP BY page ORDER BY 2, 1 LIMIT 200",
     "fetch_ladder": "WITH t AS (SELECT *, CASE render_path WHEN 'api' THEN 0 WHEN 'static' THEN 1 WHEN 'browser' THEN 2 WHEN 'archive' THEN 3 ELSE 4 END AS tier FROM research_sources WHERE url IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY tier, src_id) AS n FROM t) SELECT url, src_id, tier FROM r WHERE n = 1",
     "archive_latest": "SELECT url, (max({'t': fetched_at, 's': src_id})).s AS src_id FROM research_sources WHERE url IS NOT NULL AND fetched_at IS NOT NULL GROUP BY url",
