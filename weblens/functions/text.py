@@ -95,7 +95,7 @@ def page_range(spec: Column, total: Column) -> Column:
     lo = F.regexp_extract(spec, r"^\s*(\d+)\s*(?:-\s*(\d+)\s*)?$", 1).try_cast("int")
     hi = F.coalesce(F.nullif(F.regexp_extract(spec, r"^\s*(\d+)\s*(?:-\s*(\d+)\s*)?$", 2), F.lit("")).try_cast("int"), lo)
     a, b = F.greatest(F.least(lo, hi), F.lit(1)), F.least(F.greatest(lo, hi), total)
-    return F.when(a <= b, F.transform(F.sequence(a, b), lambda x: x - 1))
+    return F.when(lo.isNotNull() & (a <= b), F.transform(F.sequence(a, b), lambda x: x - 1))
 
 
 def cosine(a: Column, b: Column) -> Column:

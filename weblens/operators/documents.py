@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weblens.functions.text import page_range
 from weblens.operators.html import markdown, tree
 
 # Fixed limits that results depend on.
@@ -278,3 +279,23 @@ def convert_documents(documents: DataFrame, key: str, kind: str, body: str) -> D
             yield pd.DataFrame([(k, *one(own_kind, data)) for k, own_kind, data in zip(b[key], b[kind], b[body])], columns=[f.name for f in schema])
 
     return documents.select(key, kind, F.col(body)).mapInPandas(run, schema)
+
+
+def paged_documents(pages: DataFrame, key: str, page: str, text: str, spec: str, cap: int = 300, fast: int = 20) -> DataFrame:
+    """(key, pages_total, pages_returned, capped, empty, content, error) of documents whose pages are rows, numbered from 1.
+
+    spec (one a document, NULL for all pages) asks for `a` or `a-b`; what lies outside
+    the document is cut off, what is no such text or wholly outside is an error. At
+    most cap pages are returned; from `fast` pages on each has its number as a
+    heading. empty counts returned pages without text.
+    """
+    rows = F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.trim(F.coalesce(text, F.lit(""))).alias("t"))))
+    d = pages.groupBy(key).agg(F.count("*").cast("int").alias("pages_total"), F.max(spec).alias("_spec"), rows.alias("_rows"))
+    d = d.withColumn("_wanted", F.when(F.col("_spec").isNull(), F.sequence(F.lit(0), F.col("pages_total") - 1)).otherwise(page_range(F.col("_spec"), F.col("pages_total"))))
+    d = d.withColumn("_read", F.transform(F.slice("_wanted", 1, cap), lambda i: F.get("_rows", i)))
+    numbered = F.transform("_read", lambda r: F.concat(F.lit("## Page "), r["p"].cast("string"), F.lit("\n\n"), r["t"]))
+    content = F.when(F.size("_read") >= fast, F.array_join(numbered, "\n\n")).otherwise(F.array_join(F.transform("_read", lambda r: r["t"]), "\n\n"))
+    bad = F.col("_wanted").isNull()
+    returned = F.when(bad, 0).otherwise(F.size("_read"))
+    empty = F.when(~bad, F.size(F.filter("_read", lambda r: r["t"] == "")))
+    return d.select(key, "pages_total", returned.alias("pages_returned"), (~bad & (F.size("_wanted") > cap)).alias("capped"), empty.alias("empty"), content.alias("content"), F.when(bad, "bad_pages").alias("error"))

@@ -182,11 +182,6 @@ def raw_query(text: Column, since: Column, until: Column) -> Column:
     return F.concat_ws(" ", text, F.concat(F.lit("since:"), since.cast("string")), F.concat(F.lit("until:"), F.date_add(until, 1).cast("string")))
 
 
-def pdf_page_caps(total: Column, cap: int = 300, fast: int = 20) -> Column:
-    """STRUCT<returned, truncated, path> for a document of so many pages."""
-    return F.struct(F.least(total, F.lit(cap)).alias("returned"), (total > cap).alias("truncated"), F.when(total >= fast, "text").otherwise("layout").alias("path"))
-
-
 def zip_is_safe(entries: Column, size: Column, packed: Column) -> Column:
     return (entries <= 10_000) & (size <= 200 * 2**20) & (size <= packed * 200)
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weblens.operators.documents import convert_documents
+from weblens.operators.documents import convert_documents, paged_documents
 from weblens.session import table
 
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -97,7 +97,15 @@ def doc_truncation_flag(spark, d):
     return convert_documents(both, "s_suppkey", "kind", "body").where("error is null").select("s_suppkey", "doc_type", "truncated")
 
 
-QUERIES = {f"doc_{k}": _converted(k) for k in ("docx", "pptx", "xlsx", "epub", "csv", "json", "xml", "feed")} | {"doc_truncation_flag": doc_truncation_flag}
+def pdf_page_caps(spark, d):
+    """The lines of a source as a document's pages, of which a range or all are asked for; six at most, numbered from four on."""
+    s = table(spark, d, "research_sources").where("content is not null").groupBy("src_id").agg(F.min("content").alias("content"))
+    spec = F.when(F.col("src_id") % 5 == 1, "2-5").when(F.col("src_id") % 5 == 2, " 9 - 3 ").when(F.col("src_id") % 5 == 3, "first").when(F.col("src_id") % 5 == 4, "900")
+    pages = s.select("src_id", spec.alias("spec"), F.posexplode(F.split("content", "\n")).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    return paged_documents(pages, "src_id", "page", "text", "spec", cap=6, fast=4)
+
+
+QUERIES = {f"doc_{k}": _converted(k) for k in ("docx", "pptx", "xlsx", "epub", "csv", "json", "xml", "feed")} | {"doc_truncation_flag": doc_truncation_flag, "pdf_page_caps": pdf_page_caps}
 
 _N = "s_suppkey"
 
@@ -112,7 +120,13 @@ _NL = "chr(10)"
 _PARA = "chr(10) || chr(10)"
 _CHART = "'|  | one | two |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| x | ' || s_suppkey || ' |  |' || chr(10) || '| y |  | ' || s_nationkey || ' |'"
 _ITEM = "'## [' || s_name || '](https://a.example/' || s_suppkey || ')' || chr(10) || chr(10) || 'about it'"
+_PAGES = """WITH s AS (SELECT src_id, string_split(min(content), chr(10)) AS t FROM research_sources WHERE content IS NOT NULL GROUP BY src_id),
+r AS (SELECT src_id, list_transform(t, lambda x: trim(x)) AS t, len(t) AS n, CASE src_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 900 END AS a, CASE src_id % 5 WHEN 0 THEN len(t) WHEN 1 THEN least(5, len(t)) WHEN 2 THEN least(9, len(t)) WHEN 4 THEN least(900, len(t)) END AS b FROM s),
+w AS (SELECT *, a IS NULL OR a > b AS bad, list_slice(t, a, least(b, a + 5)) AS x FROM r)
+SELECT src_id, n AS pages_total, CASE WHEN bad THEN 0 ELSE len(x) END AS pages_returned, NOT bad AND b - a + 1 > 6 AS capped, CASE WHEN NOT bad THEN len(list_filter(x, lambda y: y = '')) END AS empty,
+  CASE WHEN bad THEN NULL WHEN len(x) >= 4 THEN array_to_string(list_transform(x, lambda y, i: '## Page ' || (a + i - 1) || chr(10) || chr(10) || y), chr(10) || chr(10)) ELSE array_to_string(x, chr(10) || chr(10)) END AS content, CASE WHEN bad THEN 'bad_pages' END AS error FROM w"""
 ORACLES = {
+    "pdf_page_caps": _PAGES,
     "doc_docx": _sql("docx", f"'## ' || s_name || {_PARA} || '- item' || {_PARA} || s_suppkey || {_PARA} || '| a\\|b | ' || s_name || ' |' || {_NL} || '| --- | --- |'", archive=True),
     "doc_pptx": _sql("pptx", f"'## Slide 2' || {_PARA} || s_name || {_PARA} || '![picture 2](image)' || {_PARA} || {_CHART} || {_PARA} || '## Slide 10' || {_PARA} || 'last' || {_PARA} || '![picture 10](image)' || {_PARA} || '(same chart as slide 2)'", archive=True),
     "doc_xlsx": _sql("xlsx", f"'## Own' || {_PARA} || '| key | ' || s_name || '! |  |' || {_NL} || '| --- | --- | --- |' || {_NL} || '| ' || s_suppkey || ' |  | ' || s_nationkey || ' |'", archive=True),

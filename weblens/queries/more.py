@@ -189,11 +189,6 @@ def parse_judge(spark, d):
     return e.select("event_id", F.explode(M.parse_judge(F.col("raw"), 5)).alias("s")).select("event_id", "s.idx", F.round("s.score", 2).alias("score"))
 
 
-def pdf_page_caps(spark, d):
-    n = table(spark, d, "events").select("event_id", (F.col("event_id") % 700).cast("int").alias("total"))
-    return n.select("event_id", M.pdf_page_caps(F.col("total")).alias("p")).select("event_id", "p.*")
-
-
 def zip_guard(spark, d):
     e = table(spark, d, "events")
     return e.select("event_id", M.zip_is_safe(F.col("event_id") * 3, F.col("event_id") * 50000, F.col("user_id") * 2000).alias("safe"))
@@ -227,7 +222,7 @@ def research_deep(spark, d):
     """The sources read for each query as its hits, with their texts."""
     s = _src(spark, d).where("qid is not null and final_url is not null")
     idx = F.row_number().over(Window.partitionBy("qid").orderBy("src_id"))
-    hits = s.select("qid", idx.alias("idx"), "title", F.col("final_url").alias("url"), F.substring("content", 1, 300).alias("snippet"), "published", F.lit(None).cast("string").alias("date_source"))
+    hits = s.select("qid", idx.alias("idx"), "title", F.col("final_url").alias("url"), F.col("content").alias("snippet"), "published", F.lit(None).cast("string").alias("date_source"))
     return tools.research(hits, _queries(spark, d), s, 3).select("qid", "src_id", "source_no", "word_count")
 
 
@@ -325,7 +320,7 @@ def fetch_bytes(spark, d):
     return files.select(F.element_at(F.split("url", "/"), -1).alias("name"), F.octet_length("body").alias("bytes"))
 
 
-_FUNCTIONS = (cache_put, render_report, fetch_bytes, fix_markdown, extractor_arms, news_feed, token_similarities, tally_three, boilerplate_rejection, registry_roundtrip, scan_pages, looks_blocked, failover, redirect_resolve, robots_sitemaps, site_query, raw_query, route_by_type, is_pdf_url, pdf_links, select_with_reasons, watch_content, same_site_links, config_validators, substring_any, find_similar, shared_strings, sweep_by_category, quantile_linear, content_recall, rouge_l, jaccard, ab_rerank, engine_hits, batch_cap, clamp, title_overlap, json_depth, parse_judge, pdf_page_caps, zip_guard, bundle_sim, read_pages, smart_search_route, batch_read, research_quick, research_deep, map_urls, mask_url, dom_text)
+_FUNCTIONS = (cache_put, render_report, fetch_bytes, fix_markdown, extractor_arms, news_feed, token_similarities, tally_three, boilerplate_rejection, registry_roundtrip, scan_pages, looks_blocked, failover, redirect_resolve, robots_sitemaps, site_query, raw_query, route_by_type, is_pdf_url, pdf_links, select_with_reasons, watch_content, same_site_links, config_validators, substring_any, find_similar, shared_strings, sweep_by_category, quantile_linear, content_recall, rouge_l, jaccard, ab_rerank, engine_hits, batch_cap, clamp, title_overlap, json_depth, parse_judge, zip_guard, bundle_sim, read_pages, smart_search_route, batch_read, research_quick, research_deep, map_urls, mask_url, dom_text)
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 from weblens.queries.ranking import _H, _Q, _SERP, RERANKED, ORACLES as _R  # noqa: E402
 from weblens.queries.scalars import _F, _SUFFIX  # noqa: E402
@@ -371,7 +366,6 @@ ORACLES = {
     "title_overlap": f"WITH {_H}, {_Q}, k AS (SELECT hit_id, {_TOK.format('query')} AS a, {_TOK.format('title')} AS b FROM h JOIN q USING (qid)) SELECT hit_id, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0.0 END, 6) AS overlap FROM k",
     "json_depth": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 1 END AS depth FROM events WHERE props IS NOT NULL UNION ALL SELECT event_id, NULL FROM events WHERE props IS NULL",
     "parse_judge": "SELECT event_id, 0 AS idx, round(greatest(0.0, least(3.0, round(value, 2))), 2) AS score FROM events UNION ALL SELECT event_id, 1, 0.0 FROM events",
-    "pdf_page_caps": "SELECT event_id, least(event_id % 700, 300) AS returned, event_id % 700 > 300 AS truncated, CASE WHEN event_id % 700 >= 20 THEN 'text' ELSE 'layout' END AS path FROM events",
     "zip_guard": "SELECT event_id, event_id * 3 <= 10000 AND event_id * 50000 <= 209715200 AND event_id * 50000 <= user_id * 2000 * 200 AS safe FROM events",
     "smart_search_route": f"SELECT route, count(*) AS n FROM ({_R['classify_query']}) GROUP BY route",
     "batch_read": _HD + "SELECT n, url, url IN (SELECT url FROM research_sources WHERE content IS NOT NULL AND url IS NOT NULL) AS ok FROM (SELECT url, min(hit_id) AS n FROM h WHERE url IS NOT NULL GROUP BY url ORDER BY n LIMIT 200)",

@@ -180,7 +180,7 @@ def xlsx_col(spark, d):
 
 
 def parse_pages(spark, d):
-    n = table(spark, d, "events").select("event_id", F.concat_ws("-", (F.col("event_id") % 13).cast("string"), (F.col("user_id") % 9).cast("string")).alias("spec"))
+    n = table(spark, d, "events").select("event_id", F.concat_ws("-", F.when(F.col("event_id") % 11 == 0, "x").otherwise((F.col("event_id") % 13).cast("string")), (F.col("user_id") % 9).cast("string")).alias("spec"))
     return n.select("event_id", X.page_range(F.col("spec"), F.lit(7)).alias("pages"))
 
 
@@ -260,7 +260,7 @@ def calendar_stale(spark, d):
 def answer_context(spark, d):
     s = table(spark, d, "research_sources").dropDuplicates(["src_id"]).where("qid is not null and content is not null and title is not null")
     s = s.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("src_id"))).where("n <= 3")
-    part = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), "title", F.lit(": "), F.substring("content", 1, 200))
+    part = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), "title", F.lit(": "), F.substring("content", 1, 4000))
     return s.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", part.alias("p")))), lambda x: x["p"]), "\n").alias("context"))
 
 
@@ -313,7 +313,7 @@ ORACLES = {
     "blocked_ip": f"SELECT event_id, {_IP} AS ip, {_nets()} AS blocked FROM events",
     "block_on_any": f"SELECT user_id, bool_or({_nets()}) AS blocked FROM events GROUP BY user_id",
     "xlsx_col": "SELECT ref, (ascii(ref[1]) - 64) * 26 + ascii(ref[2]) - 64 - 1 AS col FROM (SELECT upper(substring(n_name, 1, 2)) || n_nationkey AS ref FROM nation)",
-    "parse_pages": "SELECT event_id, CASE WHEN greatest(least(a, b), 1) <= least(greatest(a, b), 7) THEN generate_series(greatest(least(a, b), 1) - 1, least(greatest(a, b), 7) - 1) END AS pages FROM (SELECT event_id, event_id % 13 AS a, user_id % 9 AS b FROM events)",
+    "parse_pages": "SELECT event_id, CASE WHEN event_id % 11 <> 0 AND greatest(least(a, b), 1) <= least(greatest(a, b), 7) THEN generate_series(greatest(least(a, b), 1) - 1, least(greatest(a, b), 7) - 1) END AS pages FROM (SELECT event_id, event_id % 13 AS a, user_id % 9 AS b FROM events)",
     "lenient_int": "SELECT DISTINCT previous, TRY_CAST(replace(trim(regexp_replace(previous, '[.][0-9]*[KMB%]?$', ',000')), ',', '') AS BIGINT) AS n FROM ff_calendar_sample WHERE previous IS NOT NULL",
     "markdown_table": "SELECT 0 AS line_no, '| n_nationkey | n_name |' AS line UNION ALL SELECT 1, '| --- | --- |' UNION ALL SELECT n_nationkey + 2, '| ' || n_nationkey || ' | ' || n_name || ' |' FROM nation",
     "csv_caps": "SELECT l_returnflag, count(*) AS rows_total, least(count(*), 2000) AS rows_returned, count(*) > 2000 AS truncated FROM lineitem GROUP BY 1",
@@ -326,6 +326,6 @@ ORACLES = {
     "unwatch": "SELECT sha256(url) AS id, min(hit_id) AS hit_id FROM search_hits WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM research_sources WHERE url IS NOT NULL) GROUP BY 1",
     "paged_scan_stop": f"WITH {_U}, n AS (SELECT *, CAST(floor(idx / 5) AS INT) AS page, row_number() OVER (PARTITION BY qid, url ORDER BY idx, hit_id) AS n FROM h WHERE url IS NOT NULL AND qid IS NOT NULL) SELECT qid, page, count(*) FILTER (WHERE n = 1) AS added FROM n GROUP BY 1, 2",
     "calendar_stale": "WITH f AS (SELECT DISTINCT country, epoch_us(ingested_at) // 1000000 AS s FROM ff_calendar_sample WHERE country IS NOT NULL AND ingested_at IS NOT NULL) SELECT country, s, s - lag(s) OVER (PARTITION BY country ORDER BY s) <= 21600 AS usable FROM f",
-    "answer_context": f"WITH {_SRC}, n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY src_id) AS n FROM s WHERE qid IS NOT NULL AND content IS NOT NULL AND title IS NOT NULL) SELECT qid, string_agg('[' || n || '] ' || title || ': ' || substring(content, 1, 200), chr(10) ORDER BY n) AS context FROM n WHERE n <= 3 GROUP BY qid",
+    "answer_context": f"WITH {_SRC}, n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY src_id) AS n FROM s WHERE qid IS NOT NULL AND content IS NOT NULL AND title IS NOT NULL) SELECT qid, string_agg('[' || n || '] ' || title || ': ' || substring(content, 1, 4000), chr(10) ORDER BY n) AS context FROM n WHERE n <= 3 GROUP BY qid",
 }
 ORACLES["post_mapper"] = "WITH p AS (SELECT DISTINCT ON (id) * FROM post) SELECT id, author.handle AS handle, metrics.likes AS likes, coalesce(metrics.views, 0) AS views, length(text) AS chars FROM p"
