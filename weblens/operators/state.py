@@ -63,11 +63,11 @@ def asof_lookup(probes: DataFrame, entries: DataFrame, key: str, at: str, create
     return d.select("_row.*", F.when(fresh, F.col("_last._v")).alias("hit"))
 
 
-def _fold(df: DataFrame, key: str, order: list[str], columns: list[str], start, step, name: str, kind: T.DataType) -> DataFrame:
+def fold(df: DataFrame, key: str, order: list[str], columns: list[str], start, step, name: str, kind: T.DataType) -> DataFrame:
     """One value a row from a state machine over each key's rows in order: step(state, row) gives (state, value).
 
     Rows come sorted in Arrow batches and only the state is carried on, so a key's
-    history need not fit into memory.
+    history need not fit into memory. Rows without a key are left out.
     """
     names = list(dict.fromkeys([key, *order, *columns]))
     schema = T.StructType([*[df.schema[n] for n in (key, *order)], T.StructField(name, kind)])
@@ -100,7 +100,7 @@ def circuit_breaker(calls: DataFrame, key: str, seconds: str, order: str, failed
             return (0, None), met
         return (failures + 1, now if failures + 1 >= threshold else opened), met
 
-    return _fold(calls, key, [seconds, order], [failed], lambda: (0, None), step, "state", T.StringType())
+    return fold(calls, key, [seconds, order], [failed], lambda: (0, None), step, "state", T.StringType())
 
 
 def engine_bench(reports: DataFrame, key: str, seconds: str, order: str, answered: str, base: float = 120.0, most: float = 3600.0) -> DataFrame:
@@ -115,7 +115,7 @@ def engine_bench(reports: DataFrame, key: str, seconds: str, order: str, answere
         until = float(r[seconds] + min(base * 2.0**strikes, most))
         return (strikes + 1, until), until
 
-    return _fold(reports, key, [seconds, order], [answered], lambda: (0, 0.0), step, "until", T.DoubleType())
+    return fold(reports, key, [seconds, order], [answered], lambda: (0, 0.0), step, "until", T.DoubleType())
 
 
 def paragraphs(cues: DataFrame, key: str, seconds: str, order: str, span: float = 30.0) -> DataFrame:
@@ -125,7 +125,7 @@ def paragraphs(cues: DataFrame, key: str, seconds: str, order: str, span: float
         anchor = r[seconds] if anchor is None or r[seconds] - anchor >= span else anchor
         return anchor, float(anchor)
 
-    return _fold(cues, key, [seconds, order], [], lambda: None, step, "start", T.DoubleType())
+    return fold(cues, key, [seconds, order], [], lambda: None, step, "start", T.DoubleType())
 
 
 def poll_due(checks: DataFrame, key: str, seconds: str, order: str, interval: float) -> DataFrame:
@@ -135,7 +135,7 @@ def poll_due(checks: DataFrame, key: str, seconds: str, order: str, interval: fl
         due = last is None or r[seconds] - last >= interval
         return (r[seconds] if due else last), due
 
-    return _fold(checks, key, [seconds, order], [], lambda: None, step, "due", T.BooleanType())
+    return fold(checks, key, [seconds, order], [], lambda: None, step, "due", T.BooleanType())
 
 
 def running_totals(rows: DataFrame, key: str, bucket: Column, order: list[str], value: str) -> DataFrame:
