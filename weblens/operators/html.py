@@ -279,9 +279,9 @@ def demark(md: str) -> str:
     return "\n".join(out)
 
 
+# Fixed values that results depend on: classes that name the language of code, and names that say that it has none.
 _LANGUAGE = re.compile(r"(?:^|\s)(?:language|lang|highlight(?:-source)?)-([\w+#.-]+)")
 _WRAPPED = re.compile(r"(?:^|\s)highlight(?:-source)?-([\w+#.-]+)")
-#: Names that say that code has no language.
 PLAIN_CODE = ["default", "none", "text", "plain", "plaintext"]
 
 

@@ -20,7 +20,9 @@ from pyspark.sql import types as T
 from weblens.functions.text import html_escape, lenient_int
 from weblens.operators.html import Node, select, tree
 
-# Fixed values that results depend on: hosts of question sites, limits of threads, columns of the report's API.
+# Fixed values that results depend on: hosts of question sites, names of packages, classes of a channel's media, limits of threads, columns of the report's API.
+PACKAGE_NAME = r"(?:@[a-z0-9][\w.-]*/)?[a-z0-9][\w.-]*"
+MEDIA_CLASSES = ["message_photo", "message_video", "message_document", "message_voice", "message_sticker", "message_roundvideo"]
 QUESTION_SITES = {"stackoverflow.com": "stackoverflow", "superuser.com": "superuser", "serverfault.com": "serverfault", "askubuntu.com": "askubuntu"}
 THREAD_DEPTH, THREAD_SHOWN, ANSWERS = 8, 500, 5
 COT_API = {
@@ -345,7 +347,7 @@ def question_page(question: Column, answers: Column) -> Column:
 
 def package_target(url: Column) -> Column:
     """The package's name in an address of the registry's pages, scope included; else NULL."""
-    name = F.regexp_extract(url, r"^[a-zA-Z]+://(?:www\.)?npmjs\.com/package/((?:@[a-z0-9][\w.-]*/)?[a-z0-9][\w.-]*)(?:[/?#]|$)", 1)
+    name = F.regexp_extract(url, rf"^[a-zA-Z]+://(?:www\.)?npmjs\.com/package/({PACKAGE_NAME})(?:[/?#]|$)", 1)
     return F.nullif(name, F.lit(""))
 
 
@@ -421,7 +423,7 @@ def _channel_posts(markup: str) -> list[tuple]:
         body, date, views = first("div.js-message_text"), first("a.tgme_widget_message_date"), first("span.tgme_widget_message_views")
         when = next((t.attrs.get("datetime", "") for t in select(date, "time")), "") if date else ""
         href = date.attrs.get("href", "") if date else ""
-        media = any(part in n.attrs.get("class", "") for n in node.walk() for part in ("message_photo", "message_video", "message_document", "message_voice", "message_sticker", "message_roundvideo"))
+        media = any(part in n.attrs.get("class", "") for n in node.walk() for part in MEDIA_CLASSES)
         lines = "".join(_lines(body)).split("\n") if body else []
         out.append((int(number), href if href.startswith("https://t.me/") else f"https://t.me/{channel}/{number}", when, views.text() if views else "", "\n".join(" ".join(x.split()) for x in lines).strip(), media))
     return out
