@@ -139,3 +139,19 @@ def test_markup():
     assert a["title"] == "Head" and "nav" not in a["content"] and "One two three." in a["content"] and a["lang"] == "en"
     assert H.article("")["content"] == ""
     assert H.demark("# A\n```\n# b\n```\n[x](y) **z**") == "A\n# b\nx z"
+
+
+def test_cache_takes_payloads_of_any_length(spark):
+    import gzip
+
+    from weblens.sources import sinks
+
+    long = "Zażółć gęślą jaźń, цены\n" * 200_000
+    new = spark.createDataFrame([(1, 2, "короткий"), (2, 2, long), (3, 2, None), (4, 2, "")], "k int, at int, payload string")
+    kept = sinks.cache_put(sinks.cache_put(None, new.withColumn("at", F.lit(1)).withColumn("payload", F.lit("old")), "k", "at", "payload"), new, "k", "at", "payload")
+    damaged = [(5, gzip.compress(b"whole")[:-9]), (6, b"no gzip"), (7, gzip.compress(b"\xff no text"))]
+    kept = kept.unionByName(spark.createDataFrame([(k, 2, None, b) for k, b in damaged], "k int, at int, inline string, blob binary"))
+    got = sinks.cache_get(kept, "payload")
+    assert {r["k"]: r["payload"] for r in got.collect()} == {1: "короткий", 2: long, 3: None, 4: "", 5: None, 6: None, 7: None}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan  # an Arrow batch holds ten thousand payloads at once

@@ -298,8 +298,8 @@ def cache_put(spark, d):
     t = table(spark, d, "documents").where("text is not null").select("doc_id", F.expr("repeat(text, cast(doc_id % 3 * 40 + 1 as int))").alias("payload"))
     first = sinks.cache_put(None, t.where("doc_id % 2 = 0").withColumns({"payload": F.lit("old"), "at": F.lit(1)}), "doc_id", "at", "payload")
     kept = sinks.cache_put(first, t.withColumn("at", F.lit(2)), "doc_id", "at", "payload")
-    big = kept.select(F.col("doc_id").alias("_d"), F.col("blob").isNotNull().alias("apart"))
-    return sinks.cache_get(kept, "payload").join(big, F.col("doc_id") == F.col("_d")).select("doc_id", "apart", F.sha2("payload", 256).alias("payload"))
+    kept = kept.withColumn("apart", F.col("blob").isNotNull())
+    return sinks.cache_get(kept, "payload").select("doc_id", "apart", F.sha2("payload", 256).alias("payload"))
 
 
 def render_report(spark, d):

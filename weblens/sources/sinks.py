@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gzip
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,20 +19,18 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
 INLINE_BYTES = 32_768
 
 
-@F.pandas_udf(T.BinaryType())
-def _packed(texts: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else gzip.compress(t.encode(), mtime=0) for t in texts], dtype=object)
+# Plain functions: they get rows a hundred at a time (spark.sql.execution.python.udf.maxRecordsPerBatch); an Arrow batch has ten thousand, however long each payload is.
+@F.udf(T.BinaryType(), useArrow=False)
+def _packed(text: str | None) -> bytes | None:
+    return None if text is None else gzip.compress(text.encode(), mtime=0)
 
 
-@F.pandas_udf(T.StringType())
-def _unpacked(blobs: pd.Series) -> pd.Series:
-    out = []
-    for b in blobs:
-        try:
-            out.append(None if b is None else gzip.decompress(bytes(b)).decode())
-        except (OSError, EOFError, UnicodeDecodeError):  # a damaged entry is a miss
-            out.append(None)
-    return pd.Series(out, dtype=object)
+@F.udf(T.BinaryType(), useArrow=False)
+def _unpacked(blob: bytes | None) -> bytes | None:
+    try:
+        return None if blob is None else gzip.decompress(bytes(blob))
+    except (OSError, EOFError):  # a damaged entry is a miss
+        return None
 
 
 def cache_put(old: DataFrame | None, new: DataFrame, key: str, order: str, payload: str) -> DataFrame:
@@ -46,7 +43,7 @@ def cache_put(old: DataFrame | None, new: DataFrame, key: str, order: str, paylo
 
 def cache_get(entries: DataFrame, payload: str) -> DataFrame:
     """Entries with their payload again; NULL for a damaged one."""
-    return entries.withColumn(payload, F.coalesce("inline", _unpacked(F.col("blob")))).drop("inline", "blob")
+    return entries.withColumn(payload, F.coalesce("inline", F.try_validate_utf8(_unpacked(F.col("blob")).cast("string")))).drop("inline", "blob")
 
 
 def purge(entries: DataFrame, created: str, cutoff: Column) -> DataFrame:
