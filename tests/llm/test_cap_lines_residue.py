@@ -106,6 +106,18 @@ def test_near_duplicate_lines_form_clusters(spark):
     assert L.repeated_exact(df, "k", "u", "t").count() == 0
 
 
+def test_exact_lines_are_those_of_clusters(spark, monkeypatch):
+    seen, clusters = [], L.clusters
+    monkeypatch.setattr(L, "clusters", lambda edges: seen.append(1) or clusters(edges))
+    spelt = ["Read more from Anna Kowalska about rates", "read more from anna kowalska about rates", "Read MORE from Anna kowalska about  rates"]
+    others = [f"Read more from {name} about gold" for name in ("Ada Bell", "Bea Cole", "Cyd Dorn", "Dan Evers", "Eve Ford", "Fay Gold")]
+    rows = [(i, "https://foo.test/", f"{spelt[i % 3]}\n{others[i]}") for i in range(6)]
+    df = spark.createDataFrame(rows, "k long, u string, t string")
+    assert {tuple(r) for r in L.repeated_exact(df, "k", "u", "t").collect()} == {(i, 1) for i in range(6)}
+    assert {tuple(r) for r in L.repeated_near(df, "k", "u", "t").collect()} == {(i, n) for i in range(6) for n in (1, 2)}
+    assert len(seen) == 2  # equality decides only within the near-duplicate clusters
+
+
 def test_near_clusters_are_whole(spark):
     words = "alfa bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango uniform victor whiskey xray".split()
     chain = [" ".join(words + [f"t{c}" for c in "abcdefgh"[:k]]) for k in range(8)]  # each alike to the next

@@ -3,9 +3,6 @@
 A line is cut into shingles of five words (a shorter line is one shingle); bands
 of ROWS MinHash values put it, within its site, into buckets.
 
-Exact: lines of equal normalised text share all buckets, so one band is enough;
-a bucket seen in fewer than `least` documents is dropped before lines are counted.
-
 Near: numbers, month and weekday names, the site's own name and the
 names of persons (NAME, beyond the first word) are masked. Of masked lines alike
 to SIMILARITY two fail to share one of BANDS buckets with a chance of
@@ -14,7 +11,10 @@ masked lines of a bucket are compared with each other, all pairs that can reach
 SIMILARITY, buckets of the same lines once; the links of all buckets, and those of equal normalised lines, are
 put together to connected clusters, and the documents of a cluster are counted.
 
-Plan: documents are read once (near: twice), their line keys (no text) are
+Exact: equal lines always lie in one cluster, so of the lines of clusters in
+`least` documents those are kept whose normalised text is in so many itself.
+
+Plan: documents are read twice, their line keys (no text) are
 written to the shared folder; counting is a distinct and a count, combined
 before the shuffle, so a hot site or line never lies in one task. The text of a
 masked line is fetched from one place of it, and only of lines that share a
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weblens.llm.common import folded, lines, normal_line, one_spaced, repeated_lines, join_few
+from weblens.llm.common import folded, lines, one_spaced, repeated_lines, join_few
 from weblens.llm.minhash import bands, shingle_hashes
 from weblens.operators.instants import MONTHS
 from weblens.session import write_shared
@@ -108,17 +108,6 @@ def masked(each: DataFrame) -> DataFrame:
     return each.withColumn("masked", _site_masked(masked_, F.col("site"))).drop("_first", "_byline", "_some", "_named", "_spaced")
 
 
-def repeated_exact(df: DataFrame, key: str, url: str, content: str, least: int = 5) -> DataFrame:
-    """(key, line_no): lines whose normalised text is in at least `least` documents of their site."""
-    own = lines(df, key, url, content).withColumn("_norm", normal_line(F.col("line")))
-    own = own.select(key, "line_no", "site", F.xxhash64("site", "_norm").alias("h"), _signature(1)(_site_masked(F.col("_norm"), F.col("site"))).alias("_b"))
-    keys = write_shared(own.select(key, "line_no", "h", F.xxhash64("site", "_b.b0").alias("bucket")))
-    hot = repeated_lines(keys.select(key, "bucket"), key, least, ["bucket"]).select("bucket")
-    found = join_few(keys, hot, ["bucket"], "inner", key).select(key, "line_no", "h")
-    often = repeated_lines(found.select(key, "h"), key, least, ["h"]).select("h")
-    return join_few(found, often, ["h"], "inner", key).select(key, "line_no").distinct()
-
-
 def _shingles(text: str) -> frozenset:
     w = [_DATES.get(x.strip(".,;:()"), x) for x in text.split()]
     return frozenset(tuple(w[i : i + WORDS]) for i in range(max(1, len(w) - WORDS + 1)))
@@ -207,8 +196,8 @@ def clusters(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("m"), F.col("b").alias("c"))
 
 
-def repeated_near(df: DataFrame, key: str, url: str, content: str, least: int = 5) -> DataFrame:
-    """(key, line_no): lines of near-duplicate clusters that reach at least `least` documents of their site."""
+def clustered(df: DataFrame, key: str, url: str, content: str, least: int) -> DataFrame:
+    """(key, line_no, h): lines of near-duplicate clusters that reach at least `least` documents of their site; h is a hash of site and normalised line."""
     text = lines(df, key, url, content)
     own = masked(text)
     own = own.select(key, "line_no", F.xxhash64("site").alias("_s"), F.xxhash64("site", "norm").alias("h"), F.xxhash64("site", "masked").alias("m"), _signature(BANDS)("masked").alias("_b"))
@@ -227,9 +216,21 @@ def repeated_near(df: DataFrame, key: str, url: str, content: str, least: int =
     alike = several.join(texts, "m").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_bucket_links, "a long, b long")
     forms = keys.groupBy("h").agg(F.min("m").alias("a"), F.max("m").alias("_z")).where("a != _z").select("h", "a")  # equal lines whose capitals differ
     equal = join_few(keys.select("h", "m"), forms, ["h"], "inner", "m").select("a", F.col("m").alias("b"))
-    rows = join_few(keys.select(key, "line_no", "m"), clusters(alike.unionByName(equal)), ["m"], "left", key).select(key, "line_no", F.coalesce("c", "m").alias("c"))
+    rows = join_few(keys.select(key, "line_no", "h", "m"), clusters(alike.unionByName(equal)), ["m"], "left", key).select(key, "line_no", "h", F.coalesce("c", "m").alias("c"))
     often = repeated_lines(rows.select(key, "c"), key, least, ["c"]).select("c")
-    return join_few(rows, often, ["c"], "inner", key).select(key, "line_no").distinct()
+    return join_few(rows, often, ["c"], "inner", key).select(key, "line_no", "h")
+
+
+def repeated_near(df: DataFrame, key: str, url: str, content: str, least: int = 5) -> DataFrame:
+    """(key, line_no): lines of near-duplicate clusters that reach at least `least` documents of their site."""
+    return clustered(df, key, url, content, least).select(key, "line_no").distinct()
+
+
+def repeated_exact(df: DataFrame, key: str, url: str, content: str, least: int = 5) -> DataFrame:
+    """(key, line_no): of the lines of near-duplicate clusters, those whose normalised text is in at least `least` documents of their site."""
+    found = write_shared(clustered(df, key, url, content, least))
+    often = repeated_lines(found.select(key, "h"), key, least, ["h"]).select("h")
+    return join_few(found, often, ["h"], "inner", key).select(key, "line_no").distinct()
 
 
 def without_lines(df: DataFrame, found: DataFrame, key: str, content: str) -> DataFrame:
